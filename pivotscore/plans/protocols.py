@@ -27,14 +27,30 @@ from .translate import materialize, resolve
 SENT_COLS = ["domain", "sent_id", "text"]
 
 
+def spread(sentences: DataFrame) -> DataFrame:
+    """Hash-partition sentences before the fan-out.
+
+    A document file is one split however many sentences it holds, and every
+    sentence fans out to languages x backends requests; spreading first keeps
+    the channel, hashing and scoring work on every core.
+    """
+    n = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sentences.select(*SENT_COLS).repartition(n, "sent_id")
+
+
+def names(langs: DataFrame) -> list[str]:
+    """Language names of a (bounded) language dimension, for partition pruning."""
+    return sorted(r["language"] for r in langs.select("language").distinct().collect())
+
+
 def backends_frame(spark: SparkSession, backends: list[str]) -> DataFrame:
     return spark.createDataFrame([(b,) for b in backends], "backend string")
 
 
 def _step(df: DataFrame, cache: CacheStore, backends: list[str], out_col: str,
-          tag: str) -> DataFrame:
+          tag: str, targets: list[str] | None = None) -> DataFrame:
     """Resolve the request columns of ``df``; store the value as ``out_col``."""
-    r = resolve(df, cache, backends)
+    r = resolve(df, cache, backends, targets)
     r = (r.withColumnRenamed("value", out_col)
          .withColumnRenamed("failed", f"{out_col}_failed")
          .drop("key", "from_cache", "src", "tgt", "src_code", "tgt_code", "text"))
@@ -49,19 +65,20 @@ def back_translate(sentences: DataFrame, langs: DataFrame, backends: list[str],
     bounded dimensions, broadcast.
     """
     spark = sentences.sparkSession
-    grid = (sentences.select(*SENT_COLS)
+    grid = (spread(sentences)
             .crossJoin(F.broadcast(langs.select("family", "language", "code")))
             .crossJoin(F.broadcast(backends_frame(spark, backends))))
     fwd_req = grid.select("backend", "family", "language", "code", "domain", "sent_id",
                           F.lit(PIVOT_LANG).alias("src"), F.col("language").alias("tgt"),
                           F.lit(None).cast("int").alias("src_code"),
                           F.col("code").alias("tgt_code"), "text")
-    fwd = _step(fwd_req, cache, backends, "forward", "bt-fwd")
+    lang_list = names(langs)
+    fwd = _step(fwd_req, cache, backends, "forward", "bt-fwd", lang_list)
     back_req = fwd.select("*", F.col("language").alias("src"), F.lit(PIVOT_LANG).alias("tgt"),
                           F.col("code").alias("src_code"),
                           F.lit(None).cast("int").alias("tgt_code"),
                           F.col("forward").alias("text"))
-    return _step(back_req, cache, backends, "back", "bt-back")
+    return _step(back_req, cache, backends, "back", "bt-back", [PIVOT_LANG])
 
 
 def profiled_sentences(sentences: DataFrame, lexical=True, encoder=True) -> DataFrame:
@@ -73,15 +90,22 @@ def profiled_sentences(sentences: DataFrame, lexical=True, encoder=True) -> Data
 def score_against_sentences(pairs: DataFrame, sentences: DataFrame, hyp_col: str,
                             keys: list[str], lexical=True, encoder=True,
                             with_ter: bool = False) -> DataFrame:
-    """Join candidates to their original sentence's profile and aggregate."""
+    """Join candidates to their original sentence's profile and aggregate.
+
+    Each distinct (sentence, candidate) is scored once -- backends and
+    languages often return the same text -- and its partial sums are joined
+    back to every pair that produced it before the group aggregate.
+    """
     spark = pairs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     prof = profiled_sentences(sentences, lexical, encoder)
+    uniq = pairs.select("sent_id", hyp_col).distinct()
     # Scoring is CPU-heavy but small in bytes: an explicit partition count keeps
     # AQE from coalescing it into a handful of tasks.
-    j = pairs.repartition(n, "sent_id").join(prof, "sent_id")
+    j = uniq.repartition(n, "sent_id").join(prof, "sent_id")
     stats = S.pair_stats(S.profile(j, hyp_col, "h", lexical, encoder), "r", "h", lexical, encoder)
-    out = S.aggregate_scores(stats, keys, lexical, encoder)
+    scored = pairs.select(*keys, "sent_id", hyp_col).join(stats, ["sent_id", hyp_col])
+    out = S.aggregate_scores(scored, keys, lexical, encoder)
     if with_ter:
         from ..operators.ter import corpus_ter
         t = corpus_ter(pairs.join(sentences.select("sent_id", F.col("text").alias("_orig")), "sent_id"),
@@ -111,7 +135,7 @@ def telephone_chain(sentences: DataFrame, chain: DataFrame, backends: list[str],
     """
     spark = sentences.sparkSession
     orders = chain.select("order").distinct()
-    state = (sentences.select(*SENT_COLS)
+    state = (spread(sentences)
              .crossJoin(F.broadcast(orders))
              .crossJoin(F.broadcast(backends_frame(spark, backends)))
              .select("backend", "order", "domain", "sent_id",
@@ -136,7 +160,10 @@ def telephone_chain(sentences: DataFrame, chain: DataFrame, backends: list[str],
         if pending is not None:
             reqs.append(pending)
         req = reqs[0] if len(reqs) == 1 else reqs[0].unionByName(reqs[1])
-        res = _step(req, cache, backends, "out", f"chain-{hop}")
+        tg = [PIVOT_LANG] if pending is not None else []
+        if hop <= hops:
+            tg += names(chain.filter(F.col("hop") == hop))
+        res = _step(req, cache, backends, "out", f"chain-{hop}", sorted(set(tg)))
         if pending is not None:
             detours.append(res.filter(F.col("leg") == "detour"))
         if hop <= hops:
@@ -187,7 +214,7 @@ def round_trip(sentences: DataFrame, langs: DataFrame, backends: list[str],
     leg3 = bt.select("*", F.lit(PIVOT_LANG).alias("src"), F.col("language").alias("tgt"),
                      F.lit(None).cast("int").alias("src_code"),
                      F.col("code").alias("tgt_code"), F.col("back").alias("text"))
-    leg3 = _step(leg3, cache, backends, "third", "rt-leg3")
+    leg3 = _step(leg3, cache, backends, "third", "rt-leg3", names(langs))
     keys = ["backend", "language", "domain"]
     aba = score_against_sentences(leg3.select(*keys, "sent_id", "back"), sentences, "back",
                                   keys, encoder=False, with_ter=with_ter)

@@ -47,15 +47,17 @@ def with_key(requests: DataFrame) -> DataFrame:
                                                 F.col("tgt"), F.col("text")))
 
 
-def lookup(requests: DataFrame, cache: CacheStore, backends: list[str]) -> DataFrame:
+def lookup(requests: DataFrame, cache: CacheStore, backends: list[str],
+           targets: list[str] | None = None) -> DataFrame:
     """Requests + ``key`` + ``cached`` value (NULL on a miss)."""
-    hits = cache.read(backends).select("key", F.col("value").alias("cached"))
+    hits = cache.read(backends, targets).select("key", F.col("value").alias("cached"))
     return with_key(requests).join(hits, "key", "left")
 
 
-def misses(requests: DataFrame, cache: CacheStore, backends: list[str]) -> DataFrame:
+def misses(requests: DataFrame, cache: CacheStore, backends: list[str],
+           targets: list[str] | None = None) -> DataFrame:
     """C4: one row per missing key (a duplicate request is sent once)."""
-    hits = cache.read(backends).select("key")
+    hits = cache.read(backends, targets).select("key")
     return (with_key(requests).select("key", *REQUEST_COLS)
             .dropDuplicates(["key"]).join(hits, "key", "left_anti"))
 
@@ -70,20 +72,23 @@ def enrich(miss: DataFrame, backends: list[str]) -> DataFrame:
     return out
 
 
-def resolve(requests: DataFrame, cache: CacheStore, backends: list[str]) -> DataFrame:
+def resolve(requests: DataFrame, cache: CacheStore, backends: list[str],
+            targets: list[str] | None = None) -> DataFrame:
     """D1 over a set: requests + key, value, failed, from_cache.
 
-    Runs two jobs (enrichment write, cache append); the returned frame is lazy.
+    The cache is scanned once: the lookup is written out, misses (one row per
+    key) are taken from it, enriched and written, the successful ones are
+    appended to the cache, and the result joins lookup and fresh values by
+    key.  ``targets`` (the target languages of the requests, when known)
+    prunes the cache scan to those partitions.
     """
-    spark = requests.sparkSession
-    looked = lookup(requests, cache, backends)
-    miss = misses(requests, cache, backends)
+    looked = materialize(lookup(requests, cache, backends, targets), "lookup")
+    miss = (looked.filter(F.col("cached").isNull()).select("key", *REQUEST_COLS)
+            .dropDuplicates(["key"]))
     fresh = materialize(enrich(miss, backends), "fresh")
-    cache.append(fresh.filter(~F.col("failed")).select(
-        "key", "src", "tgt", "value", "backend"))
+    cache.append(fresh.filter(~F.col("failed")).select("key", "src", "tgt", "value", "backend"))
     new = fresh.select("key", F.col("value").alias("_new"), F.col("failed").alias("_failed"))
     out = looked.join(new, "key", "left")
-    _ = spark
     return (out.withColumn("value", F.coalesce("cached", "_new"))
             .withColumn("failed", F.coalesce("_failed", F.lit(False)))
             .withColumn("from_cache", F.col("cached").isNotNull())

@@ -230,3 +230,128 @@ def q_bands(spark, sf):
     [(m, dims.METRIC_HIGHER_IS_BETTER[m], dims.METRIC_LABELS[m]) for m in dims.METRICS]))
 def q_labels(spark, sf):
     return marts.display_labels(spark, dims.pivots(spark, sf))
+
+
+# ---- text: sentences, requests, protocols, pair scores --------------------- #
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from .checks import textsql as TS  # noqa: E402
+from .operators import scoring  # noqa: E402
+from .plans import protocols as P  # noqa: E402
+from .plans import translate as TR  # noqa: E402
+from .sources.cache_store import CacheStore, cache_key  # noqa: E402
+
+BACKENDS = ["alpha", "beta"]
+
+
+def _grid(spark, sf):
+    s = P.spread(tables.sentences(spark, sf))
+    return (s.crossJoin(F.broadcast(dims.pivots(spark, sf)))
+            .crossJoin(F.broadcast(P.backends_frame(spark, BACKENDS))))
+
+
+@register("load_sentences", TS.with_sent("SELECT domain, sent_id, doc_id, text FROM sent"))
+def q_sentences(spark, sf):
+    return tables.sentences(spark, sf)
+
+
+@register("request_keys", TS.request_keys_sql())
+def q_request_keys(spark, sf):
+    g = _grid(spark, sf)
+    return g.select("backend", F.lit("en").alias("src"), F.col("language").alias("tgt"), "sent_id",
+                    cache_key(F.col("backend"), F.lit("en"), F.col("language"), F.col("text")).alias("key"))
+
+
+@register("cell_grid", TS.cell_grid_sql())
+def q_cell_grid(spark, sf):
+    return (_grid(spark, sf).groupBy("backend", "family", "language", "domain")
+            .agg(F.count(F.lit(1)).alias("n_sentences")))
+
+
+@register("translate_step", TS.translate_step_sql())
+def q_translate_step(spark, sf):
+    g = _grid(spark, sf).select("backend", "language", "sent_id", F.lit("en").alias("src"),
+                                F.col("language").alias("tgt"), F.lit(None).cast("int").alias("src_code"),
+                                F.col("code").alias("tgt_code"), "text")
+    r = TR.resolve(g, CacheStore.shared(spark), BACKENDS, P.names(dims.pivots(spark, sf)))
+    return r.select("backend", "language", "sent_id", "value", "failed")
+
+
+@register("back_translate", TS.back_translate_sql())
+def q_back_translate(spark, sf):
+    bt = P.back_translate(tables.sentences(spark, sf), dims.pivots(spark, sf), BACKENDS,
+                          CacheStore.shared(spark))
+    return bt.select("backend", "family", "language", "domain", "sent_id", "forward", "back",
+                     "forward_failed", "back_failed")
+
+
+@register("back_translation_cells", TS.back_translation_cells_sql())
+def q_bt_cells(spark, sf):
+    return P.back_translation_cells(tables.sentences(spark, sf), dims.pivots(spark, sf), BACKENDS,
+                                    CacheStore.shared(spark))
+
+
+def _chain(spark, sf):
+    return P.telephone_chain(tables.sentences(spark, sf), dims.chain_dim(spark, sf), BACKENDS,
+                             CacheStore.shared(spark))
+
+
+def _round_trip(spark, sf):
+    return P.round_trip(tables.sentences(spark, sf), dims.round_trip_languages(spark, sf), BACKENDS,
+                        CacheStore.shared(spark))
+
+
+@register("telephone_chain", TS.telephone_chain_sql())
+def q_chain(spark, sf):
+    return _chain(spark, sf)
+
+
+@register("round_trip", TS.round_trip_sql())
+def q_round_trip(spark, sf):
+    return _round_trip(spark, sf)
+
+
+@register("asymmetry", TS.asymmetry_sql())
+def q_asymmetry(spark, sf):
+    return relate.asymmetry(_round_trip(spark, sf))
+
+
+@register("roundtrip_bars", TS.roundtrip_bars_sql())
+def q_rt_bars(spark, sf):
+    return marts.roundtrip_bars(_round_trip(spark, sf), ["cosine", "bleu"])
+
+
+@register("asymmetry_wide", TS.asymmetry_wide_sql(BACKENDS))
+def q_asym_wide(spark, sf):
+    return marts.asymmetry_wide(relate.asymmetry(_round_trip(spark, sf)), BACKENDS)
+
+
+@register("chain_curve", TS.chain_curve_sql())
+def q_chain_curve(spark, sf):
+    return marts.chain_curve(_chain(spark, sf), ["cosine", "bleu"])
+
+
+def _conv_scores(spark, sf):
+    pairs = tables.conversation_pairs(spark, sf)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stats_ = scoring.score_pairs(pairs.repartition(n), "original", "candidate", encoder=False)
+    return scoring.aggregate_scores(stats_, ["role"], encoder=False)
+
+
+@register("corpus_bleu", TS.conv_scores_sql("SELECT role, bleu, n_pairs FROM cs"))
+def q_corpus_bleu(spark, sf):
+    return _conv_scores(spark, sf).select("role", "bleu", "n_pairs")
+
+
+@register("lexical_cosine", TS.conv_scores_sql("SELECT role, cosine, n_pairs FROM cs"))
+def q_lexical_cosine(spark, sf):
+    return _conv_scores(spark, sf).select("role", "cosine", "n_pairs")
+
+
+@register("embedding_cosine", TS.embedding_cosine_sql())
+def q_embedding_cosine(spark, sf):
+    v = tables.vector_pairs(spark, sf)
+    return (v.withColumn("c", scoring.vector_cosine(F.col("a"), F.col("b")))
+            .groupBy("label").agg(F.round(F.avg("c"), 6).alias("embedding"),
+                                  F.count(F.lit(1)).alias("n_pairs")))
