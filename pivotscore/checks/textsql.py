@@ -384,3 +384,49 @@ def embedding_cosine_sql() -> str:
         "arg_min(label, vec_id) AS label, count(*) AS n FROM embeddings GROUP BY vec_id // 2)",
         f"vc AS (SELECT label, CASE WHEN {na} = 0 OR {nb} = 0 THEN 0.0 ELSE {dot} / sqrt({na} * {nb}) END AS c FROM vp WHERE n = 2)"],
         "SELECT label, round(avg(c), 6) AS embedding, count(*) AS n_pairs FROM vc GROUP BY label")
+
+
+# ---- quality -------------------------------------------------------------------- #
+
+def words_sql(x: str) -> str:
+    t = strip_ws(x)
+    return f"(CASE WHEN {t} = '' THEN []::VARCHAR[] ELSE regexp_split_to_array({t}, '{WS}+') END)"
+
+
+def length_profile_sql(mn: int, mx: int, smin: int, smax: int) -> str:
+    return with_ctes([sentences_cte(), f"w AS (SELECT domain, text, len({words_sql('text')}) AS nw FROM sent)"],
+                     f"""SELECT domain, count(*) AS n, min(nw) AS min_words, round(avg(nw), 4) AS avg_words,
+ max(nw) AS max_words, round(stddev_samp(nw), 4) AS sd_words, sum(CAST(nw < {mn} AS INTEGER)) AS n_short,
+ sum(CAST(nw > {mx} AS INTEGER)) AS n_long, sum(CAST(nw BETWEEN {smin} AND {smax} AS INTEGER)) AS n_sweet,
+ sum(CAST(contains(text, ';') AS INTEGER)) AS n_semicolon FROM w GROUP BY domain""")
+
+
+def exact_dups_sql() -> str:
+    return ("SELECT md5(text) AS text_md5, count(*) AS n, min(doc_id) AS first_doc FROM documents "
+            "GROUP BY md5(text) HAVING count(*) > 1")
+
+
+def near_dups_sql(shingle: int, bands: int, rows: int) -> str:
+    w = words_sql("lower(text)")
+    sh = (f"CASE WHEN len(w) >= {shingle} THEN list_transform(range(1, len(w) - {shingle} + 2), "
+          f"lambda i: array_to_string(w[i:i + {shingle - 1}], ' ')) ELSE [array_to_string(w, ' ')] END")
+    k = bands * rows
+    hs = ", ".join(f"list_min(list_transform(sh, lambda s: md5('{i}|' || s))) AS h{i}" for i in range(1, k + 1))
+    bsel = " UNION ALL ".join(
+        f"SELECT doc_id, {b} AS band, md5(concat_ws('|', {', '.join(f'h{b * rows + r + 1}' for r in range(rows))})) AS bucket FROM mh"
+        for b in range(bands))
+    return with_ctes([f"dw AS (SELECT doc_id, {w} AS w FROM documents)",
+                      f"ds AS MATERIALIZED (SELECT doc_id, {sh} AS sh FROM dw)",
+                      f"mh AS MATERIALIZED (SELECT doc_id, {hs} FROM ds)",
+                      f"b AS ({bsel})",
+                      "rep AS (SELECT band, bucket, min(doc_id) AS rep, count(*) AS size FROM b GROUP BY band, bucket)",
+                      "g AS (SELECT b.doc_id, min(rep) AS rep_doc_id, max(size) AS n_bucket_docs FROM b "
+                      "JOIN rep USING (band, bucket) GROUP BY b.doc_id)"],
+                     "SELECT * FROM g WHERE rep_doc_id < doc_id")
+
+
+def register_markers_sql(contraction: str, first_person: str) -> str:
+    return with_sent(f"""SELECT domain, count(*) AS n,
+ round(avg(CAST(regexp_matches(lower(text), {q(contraction)}) AS DOUBLE)), 6) AS contraction_share,
+ round(avg(CAST(regexp_matches(lower(text), {q(first_person)}) AS DOUBLE)), 6) AS first_person_share
+ FROM sent GROUP BY domain""")

@@ -355,3 +355,118 @@ def q_embedding_cosine(spark, sf):
     return (v.withColumn("c", scoring.vector_cosine(F.col("a"), F.col("b")))
             .groupBy("label").agg(F.round(F.avg("c"), 6).alias("embedding"),
                                   F.count(F.lit(1)).alias("n_pairs")))
+
+
+# ---- corpus quality --------------------------------------------------------- #
+
+from .operators import quality  # noqa: E402
+
+
+@register("length_profile", TS.length_profile_sql(quality.MIN_WORDS, quality.MAX_WORDS,
+                                                   quality.SWEET_MIN, quality.SWEET_MAX))
+def q_length_profile(spark, sf):
+    return quality.length_profile(tables.sentences(spark, sf))
+
+
+@register("exact_dups", TS.exact_dups_sql())
+def q_exact_dups(spark, sf):
+    return quality.exact_dups(dims.load_table(spark, sf, "documents"))
+
+
+@register("near_dups", TS.near_dups_sql(quality.SHINGLE, quality.BANDS, quality.ROWS))
+def q_near_dups(spark, sf):
+    return quality.near_dups(dims.load_table(spark, sf, "documents"))
+
+
+@register("register_markers", TS.register_markers_sql(quality.CONTRACTION, quality.FIRST_PERSON))
+def q_register_markers(spark, sf):
+    return quality.register_markers(tables.sentences(spark, sf))
+
+
+# ---- sources, set operations, code map --------------------------------------- #
+
+from .session import subpath  # noqa: E402
+from .sources import results  # noqa: E402
+
+TRANSLATORS = ["F", "O"]  # fixed values: the line statuses that play the backends
+
+
+def _round_metrics(df):
+    return df.select(*[F.round(c, 6).alias(c) if c in METRICS4 else F.col(c) for c in df.columns])
+
+
+@register("load_many_union", O.with_(O.BASE, "SELECT translator, family, language, domain, round(cosine, 6) AS cosine, "
+                                     "round(bleu, 6) AS bleu, round(ter, 6) AS ter, round(embedding, 6) AS embedding FROM cells"))
+def q_load_many(spark, sf):
+    import uuid
+    base = subpath(spark, "pivotscore", "scratch", f"results-{uuid.uuid4().hex}")
+    c = tables.cells(spark, sf)
+    paths = []
+    for t in TRANSLATORS:
+        p = f"{base}/{t}.parquet"
+        c.filter(F.col("translator") == t).write.parquet(p)
+        paths.append(p)
+    paths.append(f"{base}/missing.parquet")
+    return _round_metrics(results.load_many(spark, paths, results.LONG_SCHEMA))
+
+
+@register("union_integrity", O.with_(O.BASE, "SELECT count(*) AS n_combined, count(*) AS n_concat, 0 AS n_missing, "
+                                     "0 AS n_extra FROM cells"))
+def q_union_integrity(spark, sf):
+    combined = tables.cells(spark, sf)
+    parts = [combined.filter(F.col("translator") == t) for t in TRANSLATORS]
+    concat = parts[0]
+    for p in parts[1:]:
+        concat = concat.unionByName(p)
+    missing = combined.exceptAll(concat).agg(F.count(F.lit(1)).alias("n_missing"))
+    extra = concat.exceptAll(combined).agg(F.count(F.lit(1)).alias("n_extra"))
+    n1 = combined.agg(F.count(F.lit(1)).alias("n_combined"))
+    n2 = concat.agg(F.count(F.lit(1)).alias("n_concat"))
+    return n1.crossJoin(n2).crossJoin(missing.select(F.col("n_missing").cast("int"))) \
+        .crossJoin(extra.select(F.col("n_extra").cast("int")))
+
+
+def _study_codes():
+    langs = [lang for fam in dims.LANGUAGE_FAMILIES.values() for lang in fam]
+    return [(i, lang, dims.ISO_TO_NLLB[lang]) for i, lang in enumerate(langs)]
+
+
+@register("code_map", O.with_(
+    [O.PIV, "cm(idx, study_language, nllb_code) AS (VALUES " + ", ".join(
+        f"({i}, '{s}', '{n}')" for i, s, n in _study_codes()) + ")"],
+    "SELECT language, study_language, nllb_code FROM piv LEFT JOIN cm ON cm.idx = piv.code"))
+def q_code_map(spark, sf):
+    cm = spark.createDataFrame(_study_codes(), "idx int, study_language string, nllb_code string")
+    p = dims.pivots(spark, sf)
+    j = p.join(F.broadcast(cm), p.code == cm.idx, "left")
+    return j.select("language", "study_language",
+                    F.when(F.col("nllb_code").isNull(),
+                           F.raise_error(F.concat(F.lit("no code for "), F.col("language"))))
+                    .otherwise(F.col("nllb_code")).alias("nllb_code"))
+
+
+# ---- Arrow UDF metrics (rows-only checks; unit tests hold brute force) ------- #
+
+from .functions import pvalues  # noqa: E402
+from .operators import ter as TER  # noqa: E402
+
+
+@register("word_edit_rate")
+def q_word_edit_rate(spark, sf):
+    return TER.corpus_word_edit_rate(tables.conversation_pairs(spark, sf), "original", "candidate", ["role"])
+
+
+@register("anova_p")
+def q_anova_p(spark, sf):
+    c = tables.cells(spark, sf)
+    a = stats.anova(c, "family", "bleu").unionByName(stats.anova(c, "domain", "bleu"))
+    return a.withColumn("p", pvalues.f_pvalue(F.col("F"), F.col("df_between").cast("double"),
+                                              F.col("df_within").cast("double"))) \
+        .withColumn("sig", pvalues.stars(F.col("p")))
+
+
+@register("corr_pvalues")
+def q_corr_pvalues(spark, sf):
+    r = relate.corr_pooled(tables.cells(spark, sf), O.CORR_PAIRS)
+    return r.withColumn("p", pvalues.r_pvalue(F.col("r"), F.col("n").cast("double"))) \
+        .withColumn("sig", pvalues.stars(F.col("p")))
