@@ -1,0 +1,8 @@
+"""Streaming: nothing to build.
+
+The measured system has no streaming, windows or late data; its only
+incremental behaviour is that a re-run pays only for requests the cache does
+not hold, which ``plans.translate.resolve`` already gives in batch (the cache
+is an append-only table).  A user who receives sentences continuously can
+call ``resolve`` from ``foreachBatch`` on a file-source stream.
+"""
