@@ -91,9 +91,9 @@ def resolve_cte(name: str, src_cte: str, backend="backend", src="src", tgt="tgt"
 BACKENDS = ["alpha", "beta"]
 
 
-def backends_cte() -> str:
-    vals = ", ".join(f"({q(b)})" for b in BACKENDS)
-    return f"bk(backend) AS (VALUES {vals})"
+def backends_cte(backends: list[str] | None = None, name: str = "bk") -> str:
+    vals = ", ".join(f"({q(b)})" for b in (backends or BACKENDS))
+    return f"{name}(backend) AS (VALUES {vals})"
 
 
 def chain_cte() -> list[str]:
@@ -214,9 +214,9 @@ def score_ctes(name: str, pairs: str, keys: list[str], ref: str, hyp: str, lexic
 
 # ---- protocols ---------------------------------------------------------------- #
 
-def back_translate_ctes(langs_cte: str = "piv") -> list[str]:
+def back_translate_ctes(langs_cte: str = "piv", backends: list[str] | None = None) -> list[str]:
     """CTE ``bt``(backend, family, language, code, domain, sent_id, text, forward, back, *_failed)."""
-    ctes = [sentences_cte(), backends_cte(),
+    ctes = [sentences_cte(), backends_cte(backends),
             f"grid AS (SELECT bk.backend, l.family, l.language, l.code, s.domain, s.sent_id, s.text "
             f"FROM sent s CROSS JOIN {langs_cte} l CROSS JOIN bk)",
             f"fq AS (SELECT *, {q(PIVOT)} AS src, language AS tgt, NULL::INTEGER AS src_code, code AS tgt_code FROM grid)"]
@@ -250,10 +250,10 @@ def telephone_ctes(hops: int = 5) -> list[str]:
     return ctes
 
 
-def round_trip_ctes() -> list[str]:
+def round_trip_ctes(backends: list[str] | None = None) -> list[str]:
     """CTE ``rt3``: back-translation over the round-trip languages plus the third leg."""
     ctes = chain_cte() + ["rtl AS (SELECT NULL::VARCHAR AS family, language, code FROM ch WHERE \"order\" = 'linguistic')"]
-    ctes += back_translate_ctes("rtl")
+    ctes += back_translate_ctes("rtl", backends)
     ctes.append(f"tq AS (SELECT *, {q(PIVOT)} AS src, language AS tgt, NULL::INTEGER AS src_code, code AS tgt_code FROM bt)")
     ctes += resolve_cte("rt3_0", "tq", text="back", out="third")
     ctes.append("rt3 AS (SELECT * EXCLUDE (src, tgt, src_code, tgt_code) FROM rt3_0)")
@@ -430,3 +430,40 @@ def register_markers_sql(contraction: str, first_person: str) -> str:
  round(avg(CAST(regexp_matches(lower(text), {q(contraction)}) AS DOUBLE)), 6) AS contraction_share,
  round(avg(CAST(regexp_matches(lower(text), {q(first_person)}) AS DOUBLE)), 6) AS first_person_share
  FROM sent GROUP BY domain""")
+
+
+# ---- cache state against a seeded cache ---------------------------------------- #
+
+def seeded_key_ctes(seed_backend: str) -> list[str]:
+    """CTE ``ck``(k): keys a round trip with ``seed_backend`` leaves in a fresh cache."""
+    ctes = round_trip_ctes([seed_backend])
+    ctes.append("ck AS (SELECT DISTINCT k FROM ("
+                f"SELECT {key('backend', q(PIVOT), 'language', 'text')} AS k FROM rt3 WHERE NOT forward_failed "
+                f"UNION ALL SELECT {key('backend', 'language', q(PIVOT), 'forward')} FROM rt3 WHERE NOT back_failed "
+                f"UNION ALL SELECT {key('backend', q(PIVOT), 'language', 'back')} FROM rt3 WHERE NOT third_failed))")
+    ctes.append(backends_cte(BACKENDS, "bk2"))
+    ctes.append(f"req AS (SELECT bk2.backend, piv.language AS tgt, {key('bk2.backend', q(PIVOT), 'piv.language', 'sent.text')} AS k "
+                "FROM sent CROSS JOIN piv CROSS JOIN bk2)")
+    return ctes
+
+
+def cache_lookup_sql(seed_backend: str) -> str:
+    return with_ctes(seeded_key_ctes(seed_backend),
+                     "SELECT backend, tgt, count(*) AS n_requests, sum(CASE WHEN ck.k IS NOT NULL THEN 1 ELSE 0 END) AS n_hits "
+                     "FROM req LEFT JOIN ck USING (k) GROUP BY backend, tgt")
+
+
+def cache_misses_sql(seed_backend: str) -> str:
+    return with_ctes(seeded_key_ctes(seed_backend),
+                     "SELECT backend, tgt, count(DISTINCT k) AS n_missing_keys FROM req "
+                     "WHERE k NOT IN (SELECT k FROM ck) GROUP BY backend, tgt")
+
+
+def unique_keys_sql(seed_backend: str) -> str:
+    return with_ctes(seeded_key_ctes(seed_backend) + [
+        "ckt AS (SELECT DISTINCT k, backend, tgt FROM ("
+        f"SELECT backend, language AS tgt, {key('backend', q(PIVOT), 'language', 'text')} AS k FROM rt3 WHERE NOT forward_failed "
+        f"UNION ALL SELECT backend, {q(PIVOT)}, {key('backend', 'language', q(PIVOT), 'forward')} FROM rt3 WHERE NOT back_failed "
+        f"UNION ALL SELECT backend, language, {key('backend', q(PIVOT), 'language', 'back')} FROM rt3 WHERE NOT third_failed))"],
+        "SELECT backend, tgt, count(DISTINCT k) AS n_keys, sum(CAST(NOT regexp_full_match(k, '[0-9a-f]{32}') AS INTEGER)) AS n_bad "
+        "FROM ckt GROUP BY ROLLUP (backend, tgt)")

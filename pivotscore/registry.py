@@ -470,3 +470,50 @@ def q_corr_pvalues(spark, sf):
     r = relate.corr_pooled(tables.cells(spark, sf), O.CORR_PAIRS)
     return r.withColumn("p", pvalues.r_pvalue(F.col("r"), F.col("n").cast("double"))) \
         .withColumn("sig", pvalues.stars(F.col("p")))
+
+
+# ---- cache state against a seeded cache ---------------------------------------- #
+
+SEED_BACKEND = "alpha"
+
+
+def _seeded_cache(spark, sf) -> CacheStore:
+    """A cache filled by one round trip with the seed backend, built once per
+    table directory and reused (its content is a pure function of the tables)."""
+    import hashlib
+    tag = hashlib.md5(f"{sf}|{SEED_BACKEND}".encode()).hexdigest()[:16]
+    path = subpath(spark, "pivotscore", "fixtures", tag)
+    cache = CacheStore(spark, f"{path}/cache")
+    from .session import path_exists
+    if not path_exists(spark, f"{path}/_done"):
+        P.round_trip(tables.sentences(spark, sf), dims.round_trip_languages(spark, sf), [SEED_BACKEND],
+                     cache).write.format("noop").mode("overwrite").save()
+        spark.createDataFrame([(1,)], "done int").write.mode("overwrite").parquet(f"{path}/_done")
+    return cache
+
+
+def _fwd_requests(spark, sf):
+    return _grid(spark, sf).select("backend", F.lit("en").alias("src"), F.col("language").alias("tgt"),
+                                   F.lit(None).cast("int").alias("src_code"), F.col("code").alias("tgt_code"),
+                                   "text")
+
+
+@register("cache_lookup", TS.cache_lookup_sql(SEED_BACKEND))
+def q_cache_lookup(spark, sf):
+    looked = TR.lookup(_fwd_requests(spark, sf), _seeded_cache(spark, sf), BACKENDS)
+    return looked.groupBy("backend", "tgt").agg(
+        F.count(F.lit(1)).alias("n_requests"), F.sum(F.col("cached").isNotNull().cast("long")).alias("n_hits"))
+
+
+@register("cache_misses", TS.cache_misses_sql(SEED_BACKEND))
+def q_cache_misses(spark, sf):
+    m = TR.misses(_fwd_requests(spark, sf), _seeded_cache(spark, sf), BACKENDS)
+    return m.groupBy("backend", "tgt").agg(F.count(F.lit(1)).alias("n_missing_keys"))
+
+
+@register("unique_keys", TS.unique_keys_sql(SEED_BACKEND))
+def q_unique_keys(spark, sf):
+    c = _seeded_cache(spark, sf).read()
+    return c.rollup("backend", "tgt").agg(
+        F.countDistinct("key").alias("n_keys"),
+        F.sum((~F.col("key").rlike("^[0-9a-f]{32}$")).cast("int")).alias("n_bad"))
