@@ -150,10 +150,8 @@ def top_n_per_group(df: DataFrame, by: list[str], order: list[Column], n: int,
     candidates per group.  ``order`` must be a total order (add key columns).
     """
     salt = F.abs(F.hash(*salt_cols)) % buckets
-    w1 = Window.partitionBy(*by, salt.alias("_salt")).orderBy(*order)
     cand = df.withColumn("_salt", salt).withColumn("_r1", F.row_number().over(
         Window.partitionBy(*by, "_salt").orderBy(*order))).filter(F.col("_r1") <= n)
-    _ = w1
     w2 = Window.partitionBy(*by).orderBy(*order)
     return cand.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= n).drop("_salt", "_r1")
 
