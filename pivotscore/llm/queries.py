@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_jaccard, op2_quality, op4_tokens, op5_pii, op6_mix, op8_sentences, op9_bpe, op10_ann
+from . import op1_jaccard, op2_quality, op4_tokens, op5_pii, op6_mix, op7_html, op8_sentences, op9_bpe, op10_ann
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_mix.copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = op8_sentences.dedup(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_sentences", "n_removed", "removed", "kept_sha256")
@@ -57,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_ngram_jaccard, op2_quality_rules, op4_token_counts, op5_pii_spans, op6_source_mix, op8_sentence_spans,
-        op9_byte_bpe, op10_ann_partitions)
+        op1_ngram_jaccard, op2_quality_rules, op4_token_counts, op5_pii_spans, op6_source_mix, op7_html_text,
+        op8_sentence_spans, op9_byte_bpe, op10_ann_partitions)
 }
 ORACLES: dict[str, str] = {"op6_source_mix": op6_mix.oracle()}
