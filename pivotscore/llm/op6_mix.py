@@ -52,11 +52,7 @@ def chance(key: Column) -> Column:
 
 
 def copies(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
-    """(doc_id, source, size, source_size, target, expected, n_copies, taken, row) of every document.
-
-    ``row`` is the row's key for a later join: the id as text, null as an
-    empty string.
-    """
+    """(doc_id, source, size, source_size, target, expected, n_copies, taken) of every document."""
     light = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     light = light.withColumn("grp", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     # Sources are few: one row each, as are (source, length class) pairs with at most 63 classes.
@@ -102,6 +98,25 @@ def copies(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most
             .drop("whole", "extra"))
 
 
+def repeat(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    A document of no words is taken no time.  Rows that agree in id, source
+    and size are told apart by their text's hash, and ranked in that order.
+    """
+    told = cut(copies(docs, **options).filter("taken > 0")
+               .groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("n_copies"), asc=False).alias("each")))
+    cols = docs.columns
+    keyed = docs.select("*", word_count(F.col("text")).alias("size_"))
+    hit = told.select(F.col("doc_id").alias("d_"), F.col("source").alias("s_"), F.col("size").alias("w_"), "each")
+    got = keyed.join(hit, F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("source").eqNullSafe(F.col("s_")) & (F.col("size_") == F.col("w_")))
+    alike = got.filter(F.size("each") > 1)
+    turn = F.row_number().over(Window.partitionBy("doc_id", "source", "size_").orderBy(F.xxhash64("text")))
+    n = got.filter(F.size("each") == 1).withColumn("n_", F.element_at("each", 1)).select(*cols, "n_")
+    n = n.unionByName(alike.withColumn("n_", F.get("each", turn - 1)).select(*cols, "n_"))
+    return n.filter("n_ > 0").withColumn("n_", F.explode(F.sequence(F.lit(1), F.col("n_")))).select(*cols)
+
+
 def oracle(weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> str:
     """The same in DuckDB SQL, from the raw table and without bins."""
     cases = " ".join(f"when {k} then {float(x)}" for k, x in enumerate(weights))

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_jaccard, op2_quality, op4_tokens, op5_pii, op6_mix, op7_html, op8_sentences, op9_bpe, op10_ann
+from . import op1_jaccard, op2_quality, op3_substring, op4_tokens, op5_pii, op6_mix, op7_html, op8_sentences, op9_bpe, op10_ann
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_quality.judge(docs, op2_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_substring.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_tokens.count(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_ngram_jaccard, op2_quality_rules, op4_token_counts, op5_pii_spans, op6_source_mix, op7_html_text,
-        op8_sentence_spans, op9_byte_bpe, op10_ann_partitions)
+        op1_ngram_jaccard, op2_quality_rules, op3_suffix_dedup, op4_token_counts, op5_pii_spans, op6_source_mix,
+        op7_html_text, op8_sentence_spans, op9_byte_bpe, op10_ann_partitions, pipeline)
 }
 ORACLES: dict[str, str] = {"op6_source_mix": op6_mix.oracle()}
