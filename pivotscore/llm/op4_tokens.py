@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: A block is closed at this many characters, or rows.
-BLOCK_CHARS, BLOCK_ROWS = 4_000_000, 20_000
+BLOCK_CHARS, BLOCK_ROWS = 16_000_000, 50_000
+#: Bits of a piece's number in its block, and of a block's in its partition.
+PIECE_BITS, BLOCK_BITS = 26, 12
 _PLAIN = re.compile("[^\t-\r\x20-\x7e\xa0-\xff]")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \xa0a-z0-9ªµº²³¹¼-¾ß-öø-ÿ]+")
 
@@ -89,7 +91,7 @@ def blocks(docs: DataFrame, path: str) -> DataFrame:
         chars = 0
 
         def close() -> pa.RecordBatch:
-            block = (part << 32) | closed
+            block = (part << BLOCK_BITS) | closed
             packed = [_pack(np.concatenate(x or [np.zeros(0, "<i4")])) for x in (where, freq)]
             return pa.RecordBatch.from_pydict({
                 "block": pa.array([block], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())),
@@ -107,7 +109,7 @@ def blocks(docs: DataFrame, path: str) -> DataFrame:
                 freq.append(np.fromiter(found.values(), "<i4", len(found))[order])
                 ids.append(d), sizes.append(len(t.encode())), added.append(n), lens.append(len(found))
                 chars += len(t)
-                if chars >= BLOCK_CHARS or len(ids) >= BLOCK_ROWS:
+                if closed < (1 << BLOCK_BITS) - 1 and (chars >= BLOCK_CHARS or len(ids) >= BLOCK_ROWS):
                     yield close()
                     closed, chars = closed + 1, 0
                     names, ids, sizes, added, lens, where, freq = {}, [], [], [], [], [], []
@@ -125,7 +127,8 @@ def count(docs: DataFrame, path: str | None = None, limit: int = 2048) -> DataFr
         import public_tokenizers
         path = public_tokenizers.path("word_bpe_49k.json")
     packed = cut(blocks(docs, path))
-    used = packed.select("block", F.posexplode("pieces").alias("pos", "piece"))
+    listed = packed.select("block", F.posexplode("pieces").alias("pos", "piece"))
+    used = listed.select((F.shiftleft("block", PIECE_BITS) + F.col("pos")).alias("slot"), "piece")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = library(path)
@@ -134,8 +137,11 @@ def count(docs: DataFrame, path: str | None = None, limit: int = 2048) -> DataFr
                                              names=["piece", "n"])
 
     counts = cut(used.select("piece").distinct().mapInArrow(tokens, "piece string, n int"))
-    lists = (used.join(counts, "piece").groupBy("block")
-             .agg(F.sort_array(F.collect_list(F.struct("pos", "n")))["n"].alias("tokens")))  # a block's list is bounded
+    # Number and tokens of a piece share a long, which is half the size of a struct; a block's list is bounded.
+    place = F.col("slot").bitwiseAND((1 << PIECE_BITS) - 1)
+    lists = (used.join(counts, "piece")
+             .groupBy(F.shiftright("slot", PIECE_BITS).alias("block"))
+             .agg(F.sort_array(F.collect_list(F.shiftleft(place, 64 - 1 - PIECE_BITS) + F.col("n"))).alias("tokens")))
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,7 +151,7 @@ def count(docs: DataFrame, path: str | None = None, limit: int = 2048) -> DataFr
                 steps, freq = _unpack(r["places"], "<i4").astype(np.int64), _unpack(r["freqs"], "<i4").astype(np.int64)
                 run = np.cumsum(steps)
                 before = np.concatenate([[0], run])[ends - lens]
-                each = np.array(r["tokens"] or [0], np.int64)[run - np.repeat(before, lens)] * freq if len(run) else run
+                each = (np.array(r["tokens"] or [0], np.int64) & ((1 << (63 - PIECE_BITS)) - 1))[run - np.repeat(before, lens)] * freq if len(run) else run
                 whole = np.concatenate([[0], np.cumsum(each)])
                 n = whole[ends] - whole[ends - lens] + np.array(r["added"], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(r["sizes"], pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)],
