@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a leaf, tokens of a leaf in decoding, bytes of a directly encoded pre-token.
-LEAF_CHARS, LEAF_TOKENS, LEAF_BYTES = 4096, 4096, 48
+LEAF_CHARS, LEAF_TOKENS, LEAF_BYTES = 4096, 4096, 4096
 #: Distinct pre-tokens kept per worker before the memory is emptied.
 KEPT = 400_000
 _LATIN = re.compile("[^\t-\r\x20-\x7e\xa0-\xff]")
@@ -54,12 +55,15 @@ class Codec:
         self.strings = {i: b for b, i in ranks.items()}
         self.any, self.latin = splitters(pattern)
         self.known: dict[str, bytes] = {}
+        self.longest = max(map(len, ranks), default=0)
 
     # -- one pre-token ------------------------------------------------------- #
     def merge(self, data: bytes) -> list[bytes]:
         """Tokens of a short byte string: merge the lowest-ranked pair until none is left."""
         if data in self.ranks:
             return [data]
+        if len(data) > 48:
+            return self.merge_long(data)
         parts, ranks = [data[i:i + 1] for i in range(len(data))], self.ranks
         none = len(ranks) + 1
         pair = [ranks.get(data[i:i + 2], none) for i in range(len(data) - 1)]
@@ -76,6 +80,31 @@ class Codec:
                 pair[i] = ranks.get(parts[i] + parts[i + 1], none)
         return parts
 
+    def merge_long(self, data: bytes) -> list[bytes]:
+        """The same with a heap of pairs, in n log n steps."""
+        n, ranks = len(data), self.ranks
+        end, before = list(range(1, n + 1)), list(range(-1, n))  # of the token that starts at i; 0: none starts there
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i:i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, e = heapq.heappop(heap)
+            j = end[i]
+            if not j or j >= n or end[j] != e:
+                continue
+            end[i], end[j] = e, 0
+            if e < n:
+                before[e] = i
+                if end[e] - i <= self.longest and (r := ranks.get(data[i:end[e]])) is not None:
+                    heapq.heappush(heap, (r, i, end[e]))
+            p = before[i]
+            if p >= 0 and e - p <= self.longest and (r := ranks.get(data[p:e])) is not None:
+                heapq.heappush(heap, (r, p, e))
+        out, i = [], 0
+        while i < n:
+            out.append(data[i:end[i]])
+            i = end[i]
+        return out
+
     def join_tokens(self, a: list[bytes], b: list[bytes]) -> list[bytes]:
         if not a or not b:
             return a + b
