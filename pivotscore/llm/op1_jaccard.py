@@ -36,12 +36,12 @@ from .common import WORD, components, cut, row_key
 
 WORDS = re.compile(WORD)
 #: Words of a shingle, tokens of the embedding, sets of a brute-forced bucket, deepest split.
-SHINGLE, TOKENS, LIMIT, DEEPEST = 5, 64, 128, 8
+SHINGLE, TOKENS, LIMIT, DEEPEST = 5, 64, 1024, 3
 #: The similarity at which a set keeps one chosen token on average; below the
 #: threshold, so that the splitting of true pairs does not die out.
 PICK = 0.6
 #: The chance of missing a pair at the threshold through all runs.
-MISS = 1e-6
+MISS = 1e-5
 _SLACK = 0.25  # of the estimate from the embedding, five standard deviations
 _RNG = np.random.RandomState(7)
 _MUL = _RNG.randint(1, 2 ** 62, TOKENS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,8 +89,9 @@ def survival(depth: int, threshold: float) -> float:
     return q
 
 
-def runs(threshold: float, depth: int = 4) -> int:
-    return math.ceil(math.log(MISS) / math.log(1 - survival(depth, threshold)))
+def runs(threshold: float) -> int:
+    """Runs that bring the chance of a miss below MISS, even where all splits are needed."""
+    return math.ceil(math.log(MISS) / math.log(1 - survival(DEEPEST, threshold)))
 
 
 def chosen(nodes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,22 +145,36 @@ def compare(cells: DataFrame, threshold: float) -> DataFrame:
     """
     least = math.floor(TOKENS * (threshold - _SLACK))
 
-    def pairs(side, n, sig) -> tuple[np.ndarray, np.ndarray]:
-        one, two = (side != 1), (side != 0)
-        left, right = np.flatnonzero(one), np.flatnonzero(two)
-        out_a, out_b = [], []
+    def allowed(i, j, same, n):
+        low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        return (same >= least) & (low >= threshold * high - 1e-9)
+
+    def few(starts, size, n, sig):
+        """Pairs in all the cells of one small size at once."""
+        p, q = np.triu_indices(size, 1)
+        for at in range(0, len(starts), max(1, 20_000 // len(p))):
+            first = starts[at:at + max(1, 20_000 // len(p)), None]
+            i, j = (first + p).ravel(), (first + q).ravel()
+            keep = allowed(i, j, (sig[i] == sig[j]).sum(1), n)
+            yield i[keep], j[keep]
+
+    def many(s, e, side, n, sig):
+        """Pairs in one larger cell, by rows of 64, only against sets of a near enough size."""
+        left = s + np.flatnonzero(side[s:e] != 1)
+        right = s + np.flatnonzero(side[s:e] != 0)
+        left, right = left[np.argsort(n[left], kind="stable")], right[np.argsort(n[right], kind="stable")]
         for at in range(0, len(left), 64):
             rows = left[at:at + 64]
-            same = np.zeros((len(rows), len(right)), np.int16)
+            lo = np.searchsorted(n[right], math.floor(n[rows[0]] * threshold))
+            hi = np.searchsorted(n[right], math.ceil(n[rows[-1]] / threshold), side="right")
+            cols = right[lo:hi]
+            same = np.zeros((len(rows), len(cols)), np.int16)
             for k in range(TOKENS):
-                same += sig[rows, k][:, None] == sig[right, k][None, :]
-            low = np.minimum(n[rows][:, None], n[right][None, :])
-            high = np.maximum(n[rows][:, None], n[right][None, :])
-            i, j = np.nonzero((same >= least) & (low >= threshold * high - 1e-9))
-            a, b = rows[i], right[j]
-            keep = (a < b) | (side[a] == 0)
-            out_a.append(a[keep]), out_b.append(b[keep])
-        return np.concatenate(out_a), np.concatenate(out_b)
+                same += sig[rows, k][:, None] == sig[cols, k][None, :]
+            x, y = np.nonzero(same >= least)
+            i, j = rows[x], cols[y]
+            keep = allowed(i, j, same[x, y], n) & ((i < j) | (side[i] == 0))
+            yield i[keep], j[keep]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -178,13 +193,13 @@ def compare(cells: DataFrame, threshold: float) -> DataFrame:
         side = t.column("side").to_numpy()
         ids = t.column("sid").to_pylist()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, TOKENS)
-        found: set = set()
         starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
-        for s, e in zip(starts[:-1], starts[1:], strict=True):
-            if e - s > 1:
-                for i, j in zip(*pairs(side[s:e], n[s:e], sig[s:e]), strict=True):
-                    a, b = ids[s + i], ids[s + j]
-                    found.add((a, b) if a < b else (b, a))
+        sizes, starts = np.diff(starts), starts[:-1]
+        small = (sizes <= 32) & (side[starts] < 0)
+        got = [x for z in np.unique(sizes[small & (sizes > 1)]) for x in few(starts[small & (sizes == z)], z, n, sig)]
+        for k in np.flatnonzero(~small & (sizes > 1)):
+            got += many(starts[k], starts[k] + sizes[k], side, n, sig)
+        found = {(ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i]) for x, y in got for i, j in zip(x.tolist(), y.tolist(), strict=True)}
         a, b = zip(*found, strict=True) if found else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
