@@ -6,7 +6,6 @@ from ..functions.channels import CHANNEL_SPECS, FAIL_PREFIX
 from ..functions.text import TOK13A_LITERALS, TOK13A_REGEXES, WS
 from .oracle import PIV
 
-STRIDE = 1_000_000
 PIVOT = "en"
 
 
@@ -27,6 +26,7 @@ def strip_ws(x: str) -> str:
 def tok13a(x: str) -> str:
     for a, b in TOK13A_LITERALS:
         x = f"replace({x}, {lit(a)}, {lit(b)})"
+    x = f"(' ' || {x} || ' ')"
     for pat, rep in TOK13A_REGEXES:
         r = rep.replace("{1}", "\\1").replace("{2}", "\\2")
         x = f"regexp_replace({x}, {q(pat)}, {q(r)}, 'g')"
@@ -51,7 +51,7 @@ def sentences_cte(name: str = "sent") -> str:
     pieces = f"string_split(regexp_replace(text, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))"
     return (f"{name}_p AS (SELECT doc_id, lang AS domain, {pieces} AS pieces FROM documents), "
             f"{name}_u AS (SELECT doc_id, domain, unnest(range(0, len(pieces))) AS pos, unnest(pieces) AS piece FROM {name}_p), "
-            f"{name} AS (SELECT domain, doc_id * {STRIDE} + pos AS sent_id, doc_id, {strip_ws('piece')} AS text "
+            f"{name} AS (SELECT domain, concat_ws(':', doc_id, pos) AS sent_id, doc_id, {strip_ws('piece')} AS text "
             f"FROM {name}_u WHERE {strip_ws('piece')} <> '')")
 
 
@@ -189,7 +189,7 @@ def bleu_expr() -> str:
 
 
 def score_ctes(name: str, pairs: str, keys: list[str], ref: str, hyp: str, lexical=True,
-               encoder=True) -> list[str]:
+               encoder=True, rounded=True) -> list[str]:
     """CTE ``name``(keys..., bleu, cosine, embedding, n_pairs) from a pairs CTE."""
     ctes = profile_ctes(f"{name}_pr", pairs, ref, "r", lexical, encoder)
     ctes += profile_ctes(f"{name}_ph", f"{name}_pr", hyp, "h", lexical, encoder)
@@ -203,11 +203,12 @@ def score_ctes(name: str, pairs: str, keys: list[str], ref: str, hyp: str, lexic
     if encoder:
         extra.append("avg(pair_embedding) AS embedding")
     ctes.append(f"{name}_g AS (SELECT {k}, {sums}{', ' if extra else ''}{', '.join(extra)} FROM {name}_ps GROUP BY {k})")
-    outs = [f"round({bleu_expr()}, 4) AS bleu"]
+    edge = (lambda x, d: f"round({x}, {d})") if rounded else (lambda x, d: x)
+    outs = [f"{edge(bleu_expr(), 4)} AS bleu"]
     if lexical:
-        outs.append("round(cosine, 6) AS cosine")
+        outs.append(f"{edge('cosine', 6)} AS cosine")
     if encoder:
-        outs.append("round(embedding, 6) AS embedding")
+        outs.append(f"{edge('embedding', 6)} AS embedding")
     ctes.append(f"{name} AS (SELECT {k}, {', '.join(outs)}, n_pairs FROM {name}_g)")
     return ctes
 
@@ -318,18 +319,18 @@ def telephone_chain_sql() -> str:
     return with_ctes(chain_fact_ctes(), "SELECT * FROM tfact")
 
 
-def rt_fact_ctes() -> list[str]:
+def rt_fact_ctes(rounded: bool = False) -> list[str]:
     ctes = round_trip_ctes()
     ctes.append("abap AS (SELECT r.backend, r.language, r.domain, s.text AS original, r.back FROM rt3 r JOIN sent s USING (sent_id))")
-    ctes += score_ctes("aba", "abap", ["backend", "language", "domain"], "original", "back", encoder=False)
-    ctes += score_ctes("bab", "rt3", ["backend", "language", "domain"], "forward", "third", encoder=False)
+    ctes += score_ctes("aba", "abap", ["backend", "language", "domain"], "original", "back", encoder=False, rounded=rounded)
+    ctes += score_ctes("bab", "rt3", ["backend", "language", "domain"], "forward", "third", encoder=False, rounded=rounded)
     ctes.append("rfact AS (SELECT backend AS translator, language, domain, 'ABA' AS direction, cosine, bleu FROM aba "
                 "UNION ALL SELECT backend, language, domain, 'BAB', cosine, bleu FROM bab)")
     return ctes
 
 
 def round_trip_sql() -> str:
-    return with_ctes(rt_fact_ctes(), "SELECT * FROM rfact")
+    return with_ctes(rt_fact_ctes(True), "SELECT * FROM rfact")
 
 
 ASYM = ("asym AS (SELECT translator, language, round(abs(aba - bab), 4) AS asymmetry FROM ("
@@ -406,12 +407,13 @@ def exact_dups_sql() -> str:
             "GROUP BY md5(text) HAVING count(*) > 1")
 
 
-def near_dups_sql(shingle: int, bands: int, rows: int) -> str:
+def near_dups_sql(shingle: int, bands: int, rows: int, near: float) -> str:
     w = words_sql("lower(text)")
     sh = (f"CASE WHEN len(w) >= {shingle} THEN list_transform(range(1, len(w) - {shingle} + 2), "
           f"lambda i: array_to_string(w[i:i + {shingle - 1}], ' ')) ELSE [array_to_string(w, ' ')] END")
     k = bands * rows
-    hs = ", ".join(f"list_min(list_transform(sh, lambda s: md5('{i}|' || s))) AS h{i}" for i in range(1, k + 1))
+    hs = ", ".join(f"list_min(list_transform(sh, lambda s: substr(md5('{1 + i // 4}|' || s), {8 * (i % 4) + 1}, 8))) AS h{i + 1}"
+                   for i in range(k))
     bsel = " UNION ALL ".join(
         f"SELECT doc_id, {b} AS band, md5(concat_ws('|', {', '.join(f'h{b * rows + r + 1}' for r in range(rows))})) AS bucket FROM mh"
         for b in range(bands))
@@ -420,9 +422,17 @@ def near_dups_sql(shingle: int, bands: int, rows: int) -> str:
                       f"mh AS MATERIALIZED (SELECT doc_id, {hs} FROM ds)",
                       f"b AS ({bsel})",
                       "rep AS (SELECT band, bucket, min(doc_id) AS rep, count(*) AS size FROM b GROUP BY band, bucket)",
-                      "g AS (SELECT b.doc_id, min(rep) AS rep_doc_id, max(size) AS n_bucket_docs FROM b "
-                      "JOIN rep USING (band, bucket) GROUP BY b.doc_id)"],
-                     "SELECT * FROM g WHERE rep_doc_id < doc_id")
+                      "g AS (SELECT b.doc_id, list(DISTINCT rep) AS reps, max(size) AS n_bucket_docs FROM b "
+                      "JOIN rep USING (band, bucket) GROUP BY b.doc_id)",
+                      "p AS (SELECT doc_id, n_bucket_docs, unnest(reps) AS rep_doc_id FROM g)",
+                      "u AS (SELECT DISTINCT doc_id, unnest(sh) AS s FROM ds)",
+                      "n AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id)",
+                      "c AS (SELECT p.doc_id, p.rep_doc_id, any_value(p.n_bucket_docs) AS n_bucket_docs, count(*) AS both FROM p "
+                      "JOIN u x ON x.doc_id = p.doc_id JOIN u y ON y.doc_id = p.rep_doc_id AND y.s = x.s "
+                      "WHERE p.rep_doc_id < p.doc_id GROUP BY ALL)"],
+                     f"SELECT c.doc_id, min(c.rep_doc_id) AS rep_doc_id, max(n_bucket_docs) AS n_bucket_docs FROM c "
+                     f"JOIN n a ON a.doc_id = c.doc_id JOIN n b ON b.doc_id = c.rep_doc_id "
+                     f"WHERE c.both >= {near} * (a.n + b.n - c.both) GROUP BY c.doc_id")
 
 
 def register_markers_sql(contraction: str, first_person: str) -> str:

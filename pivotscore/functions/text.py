@@ -45,10 +45,15 @@ def strip_ws(c: Column) -> Column:
 
 
 def tokenize_13a(c: Column) -> Column:
-    """Tokenized string (single spaces, no leading/trailing blanks)."""
+    """Tokenized string (single spaces, no leading/trailing blanks).
+
+    The line is padded with a blank on both sides before the rules, so that a
+    mark at its start or end has a neighbour.
+    """
     x = c
     for a, b in TOK13A_LITERALS:
         x = F.replace(x, F.lit(a), F.lit(b))
+    x = F.concat(F.lit(" "), x, F.lit(" "))
     for pat, rep in TOK13A_REGEXES:
         x = F.regexp_replace(x, pat, spark_repl(rep))
     return strip_ws(F.regexp_replace(x, f"{WS}+", " "))

@@ -4,9 +4,10 @@
   compound sentences joined by ';'.
 * ``exact_dups`` -- documents whose text occurs more than once.
 * ``near_dups`` -- MinHash LSH over word 5-shingles.  Documents that share a
-  band bucket are clustered by the smallest document id in the bucket, so no
-  pair list is ever built: a text copied a million times costs a million rows,
-  not half a trillion pairs.
+  band bucket are compared with the smallest document id in the bucket only,
+  so no pair list is ever built: a text copied a million times costs a million
+  rows, not half a trillion pairs.  Each such candidate is checked by the exact
+  Jaccard similarity of the two shingle sets.
 * ``register_markers`` -- share of sentences with contractions / first person.
 """
 
@@ -22,6 +23,7 @@ MIN_WORDS, MAX_WORDS = 8, 25
 SWEET_MIN, SWEET_MAX = 12, 18
 SHINGLE = 5
 BANDS, ROWS = 4, 2
+NEAR = 0.8
 CONTRACTION = r"[a-z]'(s|t|re|ve|ll|d|m)([^a-z]|$)"
 FIRST_PERSON = r"(^|[^a-z])(i|me|my|we|our|us)([^a-z]|$)"
 # End of fixed values.
@@ -45,20 +47,31 @@ def exact_dups(docs: DataFrame) -> DataFrame:
             .filter(F.col("n") > 1))
 
 
-def minhash(docs: DataFrame) -> DataFrame:
-    """(doc_id, band, bucket): BANDS band hashes of ROWS min-hashes each."""
+def shingles(docs: DataFrame) -> DataFrame:
+    """(doc_id, sh): the distinct word shingles of each document."""
     d = docs.select("doc_id", T.words(F.lower("text")).alias("w"))
-    d = d.withColumn("sh", F.when(F.size("w") >= SHINGLE, F.transform(
+    return d.select("doc_id", F.array_distinct(F.when(F.size("w") >= SHINGLE, F.transform(
         F.sequence(F.lit(1), F.size("w") - SHINGLE + 1),
         lambda i: F.array_join(F.slice(F.col("w"), i, SHINGLE), " "))).otherwise(
-        F.array(F.array_join("w", " "))))
-    k = BANDS * ROWS
+        F.array(F.array_join("w", " ")))).alias("sh"))
+
+
+def minhash(docs: DataFrame) -> DataFrame:
+    """(doc_id, band, bucket): BANDS band hashes of ROWS min-hashes each.
+
+    A shingle's md5 is cut into four slices of eight digits, so that two md5
+    values give the eight hash functions.
+    """
+    d = shingles(docs)
+
+    def digest(half):
+        return lambda s: F.md5(F.concat(F.lit(f"{half}|"), s))
 
-    def seeded(i):
-        prefix = F.lit(f"{i}|")
-        return lambda s: F.md5(F.concat(prefix, s))
+    def part(i):
+        return lambda x: F.substring(x, 8 * (i % 4) + 1, 8)
 
-    mh = [F.array_min(F.transform("sh", seeded(i))).alias(f"h{i}") for i in range(1, k + 1)]
+    d = d.withColumn("d1", F.transform("sh", digest(1))).withColumn("d2", F.transform("sh", digest(2)))
+    mh = [F.array_min(F.transform(f"d{1 + i // 4}", part(i))).alias(f"h{i + 1}") for i in range(BANDS * ROWS)]
     d = d.select("doc_id", *mh)
     bands = [F.struct(F.lit(b).alias("band"), F.md5(F.concat_ws(
         "|", *[F.col(f"h{b * ROWS + r + 1}") for r in range(ROWS)])).alias("bucket")) for b in range(BANDS)]
@@ -66,13 +79,20 @@ def minhash(docs: DataFrame) -> DataFrame:
 
 
 def near_dups(docs: DataFrame) -> DataFrame:
-    """(doc_id, rep_doc_id, n_bucket_docs): documents whose smallest bucket
-    mate is an earlier document."""
+    """(doc_id, rep_doc_id, n_bucket_docs): documents that reach NEAR with the
+    smallest document of one of their buckets; the smallest such one is named."""
     b = minhash(docs)
     rep = b.groupBy("band", "bucket").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
     j = b.join(rep, ["band", "bucket"])
-    g = j.groupBy("doc_id").agg(F.min("rep").alias("rep_doc_id"), F.max("size").alias("n_bucket_docs"))
-    return g.filter(F.col("rep_doc_id") < F.col("doc_id"))
+    g = j.groupBy("doc_id").agg(F.collect_set("rep").alias("reps"), F.max("size").alias("n_bucket_docs"))
+    pairs = (g.select("doc_id", "n_bucket_docs", F.explode("reps").alias("rep_doc_id"))
+             .filter(F.col("rep_doc_id") < F.col("doc_id")))  # at most one row per band
+    sh = shingles(docs)
+    own, other = sh, sh.select(F.col("doc_id").alias("rep_doc_id"), F.col("sh").alias("rep_sh"))
+    both = F.size(F.array_intersect("sh", "rep_sh"))
+    near = (pairs.join(own, "doc_id").join(other, "rep_doc_id")
+            .filter(both >= F.lit(NEAR) * (F.size("sh") + F.size("rep_sh") - both)))
+    return near.groupBy("doc_id").agg(F.min("rep_doc_id").alias("rep_doc_id"), F.max("n_bucket_docs").alias("n_bucket_docs"))
 
 
 def register_markers(sentences: DataFrame) -> DataFrame:

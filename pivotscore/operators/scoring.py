@@ -123,19 +123,26 @@ def bleu_from_sums(prefix: str = "") -> Column:
 
 
 def aggregate_scores(pairs: DataFrame, keys: list[str], lexical: bool = True,
-                     encoder: bool = True) -> DataFrame:
-    """groupBy(keys) -> bleu (4 dp), cosine (6 dp), embedding (6 dp), n_pairs."""
+                     encoder: bool = True, rounded: bool = True) -> DataFrame:
+    """groupBy(keys) -> bleu (4 dp), cosine (6 dp), embedding (6 dp), n_pairs.
+
+    ``rounded=False`` keeps the values as they are, for reports that average
+    them before they round.
+    """
+    def edge(c, digits):
+        return F.round(c, digits) if rounded else c
+
     aggs = bleu_partial_aggs() + [F.count(F.lit(1)).alias("n_pairs")]
     if lexical:
         aggs.append(F.avg("pair_cosine").alias("cosine"))
     if encoder:
         aggs.append(F.avg("pair_embedding").alias("embedding"))
     g = pairs.groupBy(*keys).agg(*aggs)
-    out = [*keys, F.round(bleu_from_sums(), 4).alias("bleu")]
+    out = [*keys, edge(bleu_from_sums(), 4).alias("bleu")]
     if lexical:
-        out.append(F.round("cosine", 6).alias("cosine"))
+        out.append(edge(F.col("cosine"), 6).alias("cosine"))
     if encoder:
-        out.append(F.round("embedding", 6).alias("embedding"))
+        out.append(edge(F.col("embedding"), 6).alias("embedding"))
     out.append("n_pairs")
     return g.select(*out)
 

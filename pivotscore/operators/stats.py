@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..dims import METRIC_HIGHER_IS_BETTER
+from ..functions.pvalues import f_pvalue
 
 
 def direction(metric: str) -> int:
@@ -64,7 +65,7 @@ def eta2() -> Column:
 def anova(df: DataFrame, factor: str, metric: str, by: list[str] = ("translator",)) -> DataFrame:
     """One-way ANOVA of ``metric`` across ``factor`` within each ``by`` group.
 
-    Returns by..., factor, metric, F, df_between, df_within, ss_between,
+    Returns by..., factor, metric, F, p, df_between, df_within, ss_between,
     ss_within, ss_total, eta_squared.  Rows with a NULL factor are left out of
     every sum; a level whose values are all NULL still counts as a group.
     """
@@ -73,6 +74,7 @@ def anova(df: DataFrame, factor: str, metric: str, by: list[str] = ("translator"
     return s.select(
         *by, F.lit(factor).alias("factor"), F.lit(metric).alias("metric"),
         F.round(f_stat(), 4).alias("F"),
+        f_pvalue(f_stat(), (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double")).alias("p"),
         (F.col("k") - 1).cast("int").alias("df_between"),
         (F.col("n") - F.col("k")).cast("int").alias("df_within"),
         F.round("ssb", 6).alias("ss_between"), F.round("ssw", 6).alias("ss_within"),
@@ -141,19 +143,15 @@ def best_worst_gap(df: DataFrame, factor: str, metric: str, by: list[str] = ("tr
                     F.round(F.col("b")["mean"] - F.col("w")["mean"], 4).alias("gap"))
 
 
-def top_n_per_group(df: DataFrame, by: list[str], order: list[Column], n: int,
-                    salt_cols: list[str], buckets: int = 64) -> DataFrame:
-    """Rows ranked 1..n per ``by`` group, skew-safe.
+def top_n_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
+    """Rows ranked 1..n per ``by`` group.
 
-    First a top-n inside (group, salt bucket) -- the bucket spreads one hot
-    group over many tasks -- then a final top-n over at most n x buckets
-    candidates per group.  ``order`` must be a total order (add key columns).
+    Spark limits each group to n rows per task before the shuffle (window
+    group limit), so a hot group sends n rows from each task and no more.
+    ``order`` must be a total order (add key columns).
     """
-    salt = F.abs(F.hash(*salt_cols)) % buckets
-    cand = df.withColumn("_salt", salt).withColumn("_r1", F.row_number().over(
-        Window.partitionBy(*by, "_salt").orderBy(*order))).filter(F.col("_r1") <= n)
-    w2 = Window.partitionBy(*by).orderBy(*order)
-    return cand.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= n).drop("_salt", "_r1")
+    w = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
 def extreme_cells(df: DataFrame, metric: str, n: int = 5, by: list[str] = ("translator",),
@@ -166,8 +164,8 @@ def extreme_cells(df: DataFrame, metric: str, n: int = 5, by: list[str] = ("tran
     by, keys = list(by), list(keys)
     d = direction(metric)
     base = df.filter(F.col(metric).isNotNull()).select(*by, *keys, metric)
-    best = top_n_per_group(base, by, [(F.col(metric) * -d).asc()] + [F.col(k) for k in keys], n, keys)
-    worst = top_n_per_group(base, by, [(F.col(metric) * d).asc()] + [F.col(k) for k in keys], n, keys)
+    best = top_n_per_group(base, by, [(F.col(metric) * -d).asc()] + [F.col(k) for k in keys], n)
+    worst = top_n_per_group(base, by, [(F.col(metric) * d).asc()] + [F.col(k) for k in keys], n)
     return (best.withColumn("kind", F.lit("best"))
             .unionByName(worst.withColumn("kind", F.lit("worst")))
             .select(*by, "kind", "rank", *keys, F.round(metric, 4).alias(metric)))

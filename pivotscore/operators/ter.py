@@ -55,13 +55,19 @@ def _shift(words: list[int], start: int, length: int, dest: int) -> list[int]:
 
 
 def ter_edits_ids(h: np.ndarray, r: np.ndarray) -> int:
-    """Greedy TER: take the block shift that lowers the distance most, repeat."""
+    """Greedy TER: take the block shift that lowers the distance most, repeat.
+
+    A shift costs one edit, so it is taken only if the distance falls by two
+    or more.  A moved block starts at the position its phrase has in the
+    reference.
+    """
     cur = list(h)
     ref = list(r)
-    best = edit_distance(np.array(cur), r)
+    left = edit_distance(np.array(cur), r)
     shifts = 0
-    while True:
-        gain, cand = 0, None
+    while left > 1:
+        gain, cand = 1, None
+        checked = set()
         ref_pos: dict[tuple, list[int]] = {}
         for j in range(len(ref)):
             for L in range(1, MAX_SHIFT_SIZE + 1):
@@ -76,17 +82,19 @@ def ter_edits_ids(h: np.ndarray, r: np.ndarray) -> int:
                 for j in ref_pos.get(span, []):
                     if j == i or abs(j - i) > MAX_SHIFT_DIST:
                         continue
-                    dest = j if j < i else j - L + 1 if j > i else j
-                    dest = max(0, min(dest, len(cur) - L))
-                    moved = _shift(cur, i, L, dest)
-                    d = edit_distance(np.array(moved), r) + 1
-                    if best - d > gain:
-                        gain, cand = best - d, moved
+                    moved = _shift(cur, i, L, min(j, len(cur) - L))
+                    if tuple(moved) in checked:
+                        continue
+                    checked.add(tuple(moved))
+                    d = left - edit_distance(np.array(moved), r)
+                    if d > gain:
+                        gain, cand = d, moved
         if cand is None:
-            return best + 0 if shifts == 0 else best
+            break
         cur = cand
-        best -= gain
+        left -= gain
         shifts += 1
+    return shifts + left
 
 
 def word_edits(hyp: str, ref: str) -> tuple[int, int]:

@@ -66,8 +66,8 @@ def back_translate(sentences: DataFrame, langs: DataFrame, backends: list[str],
     """
     spark = sentences.sparkSession
     grid = (spread(sentences)
-            .crossJoin(F.broadcast(langs.select("family", "language", "code")))
-            .crossJoin(F.broadcast(backends_frame(spark, backends))))
+            .crossJoin(langs.select("family", "language", "code"))
+            .crossJoin(backends_frame(spark, backends)))
     fwd_req = grid.select("backend", "family", "language", "code", "domain", "sent_id",
                           F.lit(PIVOT_LANG).alias("src"), F.col("language").alias("tgt"),
                           F.lit(None).cast("int").alias("src_code"),
@@ -89,7 +89,7 @@ def profiled_sentences(sentences: DataFrame, lexical=True, encoder=True) -> Data
 
 def score_against_sentences(pairs: DataFrame, sentences: DataFrame, hyp_col: str,
                             keys: list[str], lexical=True, encoder=True,
-                            with_ter: bool = False) -> DataFrame:
+                            with_ter: bool = False, rounded: bool = True) -> DataFrame:
     """Join candidates to their original sentence's profile and aggregate.
 
     Each distinct (sentence, candidate) is scored once -- backends and
@@ -105,7 +105,7 @@ def score_against_sentences(pairs: DataFrame, sentences: DataFrame, hyp_col: str
     j = uniq.repartition(n, "sent_id").join(prof, "sent_id")
     stats = S.pair_stats(S.profile(j, hyp_col, "h", lexical, encoder), "r", "h", lexical, encoder)
     scored = pairs.select(*keys, "sent_id", hyp_col).join(stats, ["sent_id", hyp_col])
-    out = S.aggregate_scores(scored, keys, lexical, encoder)
+    out = S.aggregate_scores(scored, keys, lexical, encoder, rounded)
     if with_ter:
         from ..operators.ter import corpus_ter
         t = corpus_ter(pairs.join(sentences.select("sent_id", F.col("text").alias("_orig")), "sent_id"),
@@ -136,8 +136,8 @@ def telephone_chain(sentences: DataFrame, chain: DataFrame, backends: list[str],
     spark = sentences.sparkSession
     orders = chain.select("order").distinct()
     state = (spread(sentences)
-             .crossJoin(F.broadcast(orders))
-             .crossJoin(F.broadcast(backends_frame(spark, backends)))
+             .crossJoin(orders)
+             .crossJoin(backends_frame(spark, backends))
              .select("backend", "order", "domain", "sent_id",
                      F.col("text").alias("cur"), F.lit(PIVOT_LANG).alias("cur_lang"),
                      F.lit(None).cast("int").alias("cur_code"), F.lit(0).alias("hop")))
@@ -149,7 +149,7 @@ def telephone_chain(sentences: DataFrame, chain: DataFrame, backends: list[str],
         if hop <= hops:
             nxt = chain.filter(F.col("hop") == hop).select(
                 "order", F.col("language").alias("nl"), F.col("code").alias("nc"))
-            fwd = (state.join(F.broadcast(nxt), "order")
+            fwd = (state.join(nxt, "order")
                    .select("backend", "order", "domain", "sent_id",
                            F.lit(hop).alias("hop"), F.lit("chain").alias("leg"),
                            F.col("nl").alias("lang"), F.col("nc").alias("lang_code_int"),
@@ -188,8 +188,8 @@ def telephone_chain(sentences: DataFrame, chain: DataFrame, backends: list[str],
     scored = scored.drop("n_pairs").withColumnRenamed("backend", "translator") \
         .withColumnRenamed("lang", "lang_code")
     base = (sentences.select("domain").distinct()
-            .crossJoin(F.broadcast(orders))
-            .crossJoin(F.broadcast(backends_frame(spark, backends).withColumnRenamed("backend", "translator")))
+            .crossJoin(orders)
+            .crossJoin(backends_frame(spark, backends).withColumnRenamed("backend", "translator"))
             .select("translator", "order", "domain", F.lit(0).alias("hop"),
                     F.lit(PIVOT_LANG).alias("lang_code"), F.lit(100.0).alias("bleu"),
                     F.lit(1.0).alias("cosine")))
@@ -201,7 +201,7 @@ def telephone_chain(sentences: DataFrame, chain: DataFrame, backends: list[str],
 
 
 def round_trip(sentences: DataFrame, langs: DataFrame, backends: list[str],
-               cache: CacheStore, with_ter: bool = False) -> DataFrame:
+               cache: CacheStore, with_ter: bool = False, rounded: bool = True) -> DataFrame:
     """(translator, language, domain, direction, cosine, bleu[, ter]).
 
     ABA scores the back-translation against the original; BAB scores the
@@ -217,11 +217,11 @@ def round_trip(sentences: DataFrame, langs: DataFrame, backends: list[str],
     leg3 = _step(leg3, cache, backends, "third", "rt-leg3", names(langs))
     keys = ["backend", "language", "domain"]
     aba = score_against_sentences(leg3.select(*keys, "sent_id", "back"), sentences, "back",
-                                  keys, encoder=False, with_ter=with_ter)
+                                  keys, encoder=False, with_ter=with_ter, rounded=rounded)
     n = int(leg3.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bab_pairs = S.score_pairs(leg3.select(*keys, "sent_id", "forward", "third").repartition(n),
                               "forward", "third", encoder=False)
-    bab = S.aggregate_scores(bab_pairs, keys, encoder=False)
+    bab = S.aggregate_scores(bab_pairs, keys, encoder=False, rounded=rounded)
     if with_ter:
         from ..operators.ter import corpus_ter
         bab = bab.join(corpus_ter(leg3, "forward", "third", keys), keys, "left")

@@ -6,6 +6,7 @@ in the Spark result and in the oracle SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,17 +64,17 @@ def q_summary_ter(spark, sf):
 
 @register("anova_family", O.anova_sql("family", "bleu", ["translator"]))
 def q_anova_family(spark, sf):
-    return stats.anova(_cells(spark, sf), "family", "bleu")
+    return stats.anova(_cells(spark, sf), "family", "bleu").drop("p")
 
 
 @register("anova_domain", O.anova_sql("domain", "bleu", ["translator"]))
 def q_anova_domain(spark, sf):
-    return stats.anova(_cells(spark, sf), "domain", "bleu")
+    return stats.anova(_cells(spark, sf), "domain", "bleu").drop("p")
 
 
 @register("anova_translator", O.anova_sql("translator", "bleu", []))
 def q_anova_translator(spark, sf):
-    return stats.anova(_cells(spark, sf), "translator", "bleu", by=[])
+    return stats.anova(_cells(spark, sf), "translator", "bleu", by=[]).drop("p")
 
 
 @register("variance_decomposition", O.variance_decomposition_sql("bleu"))
@@ -247,8 +248,8 @@ BACKENDS = ["alpha", "beta"]
 
 def _grid(spark, sf):
     s = P.spread(tables.sentences(spark, sf))
-    return (s.crossJoin(F.broadcast(dims.pivots(spark, sf)))
-            .crossJoin(F.broadcast(P.backends_frame(spark, BACKENDS))))
+    return (s.crossJoin(dims.pivots(spark, sf))
+            .crossJoin(P.backends_frame(spark, BACKENDS)))
 
 
 @register("load_sentences", TS.with_sent("SELECT domain, sent_id, doc_id, text FROM sent"))
@@ -297,9 +298,9 @@ def _chain(spark, sf):
                              CacheStore.shared(spark))
 
 
-def _round_trip(spark, sf):
+def _round_trip(spark, sf, rounded=False):
     return P.round_trip(tables.sentences(spark, sf), dims.round_trip_languages(spark, sf), BACKENDS,
-                        CacheStore.shared(spark))
+                        CacheStore.shared(spark), rounded=rounded)
 
 
 @register("telephone_chain", TS.telephone_chain_sql())
@@ -309,7 +310,7 @@ def q_chain(spark, sf):
 
 @register("round_trip", TS.round_trip_sql())
 def q_round_trip(spark, sf):
-    return _round_trip(spark, sf)
+    return _round_trip(spark, sf, rounded=True)
 
 
 @register("asymmetry", TS.asymmetry_sql())
@@ -373,7 +374,7 @@ def q_exact_dups(spark, sf):
     return quality.exact_dups(dims.load_table(spark, sf, "documents"))
 
 
-@register("near_dups", TS.near_dups_sql(quality.SHINGLE, quality.BANDS, quality.ROWS))
+@register("near_dups", TS.near_dups_sql(quality.SHINGLE, quality.BANDS, quality.ROWS, quality.NEAR))
 def q_near_dups(spark, sf):
     return quality.near_dups(dims.load_table(spark, sf, "documents"))
 
@@ -395,35 +396,47 @@ def _round_metrics(df):
     return df.select(*[F.round(c, 6).alias(c) if c in METRICS4 else F.col(c) for c in df.columns])
 
 
+def _by_backend(spark, sf):
+    """The cells written as one file per backend and as one combined file."""
+    base = subpath(spark, "pivotscore", "scratch", f"results-{uuid.uuid4().hex}")
+    c = tables.cells(spark, sf)
+    odd = F.raise_error(F.concat(F.lit("no file for backend "), F.col("translator")))
+    c = c.withColumn("translator", F.when(F.col("translator").isin(TRANSLATORS), F.col("translator")).otherwise(odd))
+    c.write.parquet(f"{base}/combined.parquet")
+    whole = spark.read.parquet(f"{base}/combined.parquet")
+    paths = [f"{base}/{t}.parquet" for t in TRANSLATORS]
+    for t, p in zip(TRANSLATORS, paths):
+        whole.filter(F.col("translator") == t).write.parquet(p)
+    return f"{base}/combined.parquet", [*paths, f"{base}/missing.parquet"]
+
+
 @register("load_many_union", O.with_(O.BASE, "SELECT translator, family, language, domain, round(cosine, 6) AS cosine, "
                                      "round(bleu, 6) AS bleu, round(ter, 6) AS ter, round(embedding, 6) AS embedding FROM cells"))
 def q_load_many(spark, sf):
-    import uuid
-    base = subpath(spark, "pivotscore", "scratch", f"results-{uuid.uuid4().hex}")
-    c = tables.cells(spark, sf)
-    paths = []
-    for t in TRANSLATORS:
-        p = f"{base}/{t}.parquet"
-        c.filter(F.col("translator") == t).write.parquet(p)
-        paths.append(p)
-    paths.append(f"{base}/missing.parquet")
+    _, paths = _by_backend(spark, sf)
     return _round_metrics(results.load_many(spark, paths, results.LONG_SCHEMA))
 
 
-@register("union_integrity", O.with_(O.BASE, "SELECT count(*) AS n_combined, count(*) AS n_concat, 0 AS n_missing, "
-                                     "0 AS n_extra FROM cells"))
+_PARTS = [f"p{k} AS (SELECT * FROM cells WHERE translator = '{t}')" for k, t in enumerate(TRANSLATORS)]
+_JOINED = " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(len(TRANSLATORS)))
+
+
+@register("union_integrity", O.with_(
+    [*O.BASE, *_PARTS, f"joined AS ({_JOINED})"],
+    "SELECT (SELECT count(*) FROM cells) AS n_combined, (SELECT count(*) FROM joined) AS n_concat, "
+    "(SELECT count(*) FROM (SELECT * FROM cells EXCEPT ALL SELECT * FROM joined)) AS n_missing, "
+    "(SELECT count(*) FROM (SELECT * FROM joined EXCEPT ALL SELECT * FROM cells)) AS n_extra"))
 def q_union_integrity(spark, sf):
-    combined = tables.cells(spark, sf)
-    parts = [combined.filter(F.col("translator") == t) for t in TRANSLATORS]
-    concat = parts[0]
-    for p in parts[1:]:
-        concat = concat.unionByName(p)
-    missing = combined.exceptAll(concat).agg(F.count(F.lit(1)).alias("n_missing"))
-    extra = concat.exceptAll(combined).agg(F.count(F.lit(1)).alias("n_extra"))
-    n1 = combined.agg(F.count(F.lit(1)).alias("n_combined"))
-    n2 = concat.agg(F.count(F.lit(1)).alias("n_concat"))
-    return n1.crossJoin(n2).crossJoin(missing.select(F.col("n_missing").cast("int"))) \
-        .crossJoin(extra.select(F.col("n_extra").cast("int")))
+    """The combined file against the files it should hold, both read back."""
+    whole, paths = _by_backend(spark, sf)
+    combined = results.load_many(spark, [whole], results.LONG_SCHEMA)
+    concat = results.load_many(spark, paths, results.LONG_SCHEMA)
+
+    def n(df, name):
+        return df.agg(F.count(F.lit(1)).alias(name))
+
+    return (n(combined, "n_combined").crossJoin(n(concat, "n_concat"))
+            .crossJoin(n(combined.exceptAll(concat), "n_missing")).crossJoin(n(concat.exceptAll(combined), "n_extra")))
 
 
 def _study_codes():
@@ -438,7 +451,7 @@ def _study_codes():
 def q_code_map(spark, sf):
     cm = spark.createDataFrame(_study_codes(), "idx int, study_language string, nllb_code string")
     p = dims.pivots(spark, sf)
-    j = p.join(F.broadcast(cm), p.code == cm.idx, "left")
+    j = p.join(cm, p.code == cm.idx, "left")
     return j.select("language", "study_language",
                     F.when(F.col("nllb_code").isNull(),
                            F.raise_error(F.concat(F.lit("no code for "), F.col("language"))))
@@ -460,9 +473,7 @@ def q_word_edit_rate(spark, sf):
 def q_anova_p(spark, sf):
     c = tables.cells(spark, sf)
     a = stats.anova(c, "family", "bleu").unionByName(stats.anova(c, "domain", "bleu"))
-    return a.withColumn("p", pvalues.f_pvalue(F.col("F"), F.col("df_between").cast("double"),
-                                              F.col("df_within").cast("double"))) \
-        .withColumn("sig", pvalues.stars(F.col("p")))
+    return a.withColumn("sig", pvalues.stars(F.col("p")))
 
 
 @register("corr_pvalues")

@@ -10,7 +10,6 @@ visible to the other executors.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -75,8 +74,3 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(jpath))
-
-
-def local_master() -> str:
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    return f"local[{cpus}]"

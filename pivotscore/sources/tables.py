@@ -20,7 +20,6 @@ from ..functions import text as T
 
 CELL_KEYS = ["translator", "family", "language", "domain"]
 METRIC_COLS = ["cosine", "bleu", "ter", "embedding"]
-SENTENCE_ID_STRIDE = 1_000_000  # sent_id = doc_id * stride + piece position
 MEASURE_TYPE = "decimal(18,2)"
 
 
@@ -40,7 +39,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     piv = pivots(spark, sf_dir).select("family", "language", "code")
     return (li.join(p, li.l_partkey == p.p_partkey)
             .join(s, li.l_suppkey == s.s_suppkey)
-            .join(F.broadcast(piv), F.col("s_nationkey") == F.col("code"))
+            .join(piv, F.col("s_nationkey") == F.col("code"))
             .select(F.col("l_linestatus").alias("translator"), "family", "language",
                     F.col("p_type").alias("domain"),
                     (F.col("l_extendedprice") / 1000).alias("bleu"),
@@ -74,7 +73,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
                       dsum("l_discount").alias("sd"), dsum("l_tax").alias("st"),
                       F.count(F.lit(1)).alias("n")))
     g = (part_sums.join(s, part_sums.l_suppkey == s.s_suppkey)
-         .join(F.broadcast(piv), F.col("s_nationkey") == F.col("code"))
+         .join(piv, F.col("s_nationkey") == F.col("code"))
          .groupBy(F.col("l_linestatus").alias("translator"), "family", "language",
                   F.col("p_type").alias("domain"))
          .agg(F.sum("sp").alias("sp"), F.sum("sq").alias("sq"), F.sum("sd").alias("sd"),
@@ -87,12 +86,16 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(domain, sent_id, doc_id, text): every non-blank sentence of every document."""
+    """(domain, sent_id, doc_id, text): every non-blank sentence of every document.
+
+    ``sent_id`` is ``doc_id:position``, so no document, however long, can take
+    the ids of another.
+    """
     d = load_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     pieces = F.split(F.regexp_replace("text", r"([.!?])[ \t]+", "$1\n"), "\n")
     x = d.select("doc_id", F.col("lang").alias("domain"), F.posexplode(pieces).alias("pos", "piece"))
     x = x.withColumn("text", T.strip_ws(F.col("piece"))).filter(F.col("text") != "")
-    return x.select("domain", (F.col("doc_id") * SENTENCE_ID_STRIDE + F.col("pos")).alias("sent_id"),
+    return x.select("domain", F.concat_ws(":", "doc_id", "pos").alias("sent_id"),
                     "doc_id", "text")
 
 

@@ -14,6 +14,7 @@ def tok13a(s):
     for a, b in [("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"),
                  ("&lt;", "<"), ("&gt;", ">")]:
         s = s.replace(a, b)
+    s = f" {s} "
     s = re.sub(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 ", s)
     s = re.sub(r"([^0-9])([\.,])", r"\1 \2 ", s)
     s = re.sub(r"([\.,])([^0-9])", r" \1 \2", s)
@@ -56,6 +57,15 @@ def brute_cos(a, b):
     return sum(v * cb[w] for w, v in ca.items()) / math.sqrt(na * nb)
 
 
+@pytest.mark.parametrize("line,tokens", [
+    ("In 2020.", "In 2020 ."), (".5 of it", ". 5 of it"), ("3,500.25 - 4-5", "3,500.25 - 4 - 5"),
+    ("&quot;A&amp;B&quot;", '" A & B "'), ("well-\nknown, yes", "wellknown , yes")])
+def test_tokens_by_hand(spark, line, tokens):
+    from pivotscore.functions import text as T
+    got = spark.createDataFrame([(line,)], "s string").select(T.tokenize_13a(F.col("s")).alias("t")).first()["t"]
+    assert got == tokens
+
+
 PAIRS = [("The cat sat on the mat, and the dog sat too.", "the cat sat on a mat and the dog too"),
          ("It costs 3.50 dollars (approx.) - really!", "It costs 3.50 dollars really"),
          ("a a a a b b", "a a b b b b"),
