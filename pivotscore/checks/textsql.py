@@ -477,3 +477,64 @@ def unique_keys_sql(seed_backend: str) -> str:
         f"UNION ALL SELECT backend, language, {key('backend', q(PIVOT), 'language', 'back')} FROM rt3 WHERE NOT third_failed))"],
         "SELECT backend, tgt, count(DISTINCT k) AS n_keys, sum(CAST(NOT regexp_full_match(k, '[0-9a-f]{32}') AS INTEGER)) AS n_bad "
         "FROM ckt GROUP BY ROLLUP (backend, tgt)")
+
+
+# ---- replay of the protocols against the seeded cache ------------------------- #
+
+def _look_ctes(name: str, src_cte: str, src: str, tgt: str, src_code: str, tgt_code: str) -> list[str]:
+    """CTE ``name``: ``src_cte`` with k, found and value (null on a miss) of one lookup."""
+    return [f"{name}_k AS (SELECT *, {key('backend', src, tgt, 'cur')} AS k FROM {src_cte})",
+            f"{name} AS MATERIALIZED (SELECT {name}_k.*, ck.k IS NOT NULL AS found, CASE WHEN ck.k IS NOT NULL THEN "
+            f"{channel('backend', 'cur', tgt, src_code, tgt_code)} END AS value FROM {name}_k LEFT JOIN ck ON ck.k = {name}_k.k)"]
+
+
+def replay_ctes(seed_backend: str) -> list[str]:
+    """CTE ``looks``(backend, protocol, k, found)."""
+    ctes = [c for c in seeded_key_ctes(seed_backend) if not c.startswith("req AS")]
+    have = " ".join(ctes)
+    ctes += [c for c in chain_cte() if c.split(" AS ")[0].split("(")[0] + " AS" not in have and c.split("(")[0] + "(" not in have]
+    none = "NULL::INTEGER"
+    ctes.append("b0 AS (SELECT bk2.backend, sent.sent_id, sent.text AS cur FROM sent CROSS JOIN bk2)")
+    told = []
+
+    def legs(p: str, protocol: str, langs: str, n: int) -> None:
+        ctes.append(f"{p}0 AS (SELECT b0.*, l.language, l.code FROM b0 CROSS JOIN ({langs}) l)")
+        for leg in range(n):
+            there = leg % 2 == 0
+            ctes.extend(_look_ctes(f"{p}l{leg}", f"{p}{leg}", q(PIVOT) if there else "language", "language" if there else q(PIVOT),
+                                   none if there else "code", "code" if there else none))
+            told.append(f"SELECT backend, '{protocol}' AS protocol, k, found FROM {p}l{leg}")
+            ctes.append(f"{p}{leg + 1} AS (SELECT backend, sent_id, value AS cur, language, code FROM {p}l{leg} WHERE found)")
+
+    legs("xb", "back_translation", "SELECT language, code FROM piv", 2)
+    ctes.append("xc0 AS (SELECT b0.*, o.\"order\" AS ord, 'en' AS at_l, NULL::INTEGER AS at_code FROM b0 CROSS JOIN (SELECT DISTINCT \"order\" FROM ch) o)")
+    for h in range(1, 6):
+        ctes.append(f"xq{h} AS (SELECT c.*, ch.language AS to_l, ch.code AS to_c FROM xc{h - 1} c JOIN ch ON ch.\"order\" = c.ord AND ch.hop = {h})")
+        ctes.extend(_look_ctes(f"xf{h}", f"xq{h}", "at_l", "to_l", "at_code", "to_c"))
+        told.append(f"SELECT backend, 'telephone_chain', k, found FROM xf{h}")
+        ctes.append(f"xc{h} AS (SELECT backend, sent_id, coalesce(value, cur) AS cur, ord, to_l AS at_l, to_c AS at_code FROM xf{h})")
+        ctes.extend(_look_ctes(f"xd{h}", f"xc{h}", "at_l", q(PIVOT), "at_code", none))
+        told.append(f"SELECT backend, 'telephone_chain', k, found FROM xd{h}")
+    legs("xr", "round_trip", "SELECT language, code FROM ch WHERE \"order\" = 'linguistic'", 3)
+    ctes.append("looks AS MATERIALIZED (" + " UNION ALL ".join(told) + ")")
+    ctes.append("own AS (SELECT DISTINCT k, backend || ':' || protocol AS tag, backend, protocol FROM looks WHERE found)")
+    return ctes
+
+
+REPLAY_BODIES = {
+    "replay_requests": "SELECT backend, protocol, count(*) AS n_ops, sum(CAST(found AS BIGINT))::BIGINT AS n_hits, count(DISTINCT k) AS n_unique "
+                       "FROM looks GROUP BY ALL",
+    "key_owners": "SELECT tags, count(*) AS n_keys FROM (SELECT k, string_agg(tag, '+' ORDER BY tag) AS tags FROM own GROUP BY k) GROUP BY tags",
+    "keys_by_tag": "SELECT backend, protocol, count(DISTINCT k) AS n_keys FROM own GROUP BY ROLLUP (backend, protocol) HAVING backend IS NOT NULL",
+    "replay_misses": "SELECT backend || ':' || protocol AS tag, sum(CAST(NOT found AS BIGINT))::BIGINT AS n_missed FROM looks GROUP BY ALL",
+    "key_overlap": "SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS n_shared FROM own a JOIN own b ON a.k = b.k AND a.tag < b.tag GROUP BY ALL",
+}
+
+
+def replay_sql(seed_backend: str, name: str) -> str:
+    return with_ctes(replay_ctes(seed_backend), REPLAY_BODIES[name])
+
+
+def unattributed_sql(seed_backend: str) -> str:
+    return with_ctes(replay_ctes(seed_backend),
+                     f"SELECT {q(seed_backend)} AS backend, count(*) AS n_keys, sum(CAST(k NOT IN (SELECT k FROM own) AS BIGINT))::BIGINT AS n_unattributed FROM ck")

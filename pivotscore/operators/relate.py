@@ -188,3 +188,19 @@ def asymmetry(rt: DataFrame) -> DataFrame:
     return (g.filter(F.col("aba").isNotNull() & F.col("bab").isNotNull())
             .select("translator", "language", F.round(F.abs(F.col("aba") - F.col("bab")), 4).alias("asymmetry")))
 
+
+
+def language_sets(df: DataFrame, by: str = "translator") -> DataFrame:
+    """Languages that only one of two backends has (both 0: the sets agree).
+
+    One row per backend and language is compared, not the facts.
+    """
+    has = df.select(by, "language").distinct()
+    names = has.select(by).distinct()
+    pairs = names.select(F.col(by).alias(f"{by}_a")).join(names.select(F.col(by).alias(f"{by}_b")), F.col(f"{by}_a") < F.col(f"{by}_b"))
+    held = has.groupBy(by).agg(F.collect_set("language").alias("langs"))
+    a = held.select(F.col(by).alias(f"{by}_a"), F.col("langs").alias("la"))
+    b = held.select(F.col(by).alias(f"{by}_b"), F.col("langs").alias("lb"))
+    j = pairs.join(a, f"{by}_a").join(b, f"{by}_b")
+    return j.select(f"{by}_a", f"{by}_b", F.size(F.array_except("la", "lb")).cast("long").alias("n_only_a"),
+                    F.size(F.array_except("lb", "la")).cast("long").alias("n_only_b"))

@@ -28,6 +28,8 @@ from ..functions.channels import apply_backend, get_backend
 from ..session import subpath
 from ..sources.cache_store import CacheStore, cache_key
 
+#: Session setting: tasks over which calls to a backend are dealt.
+CALLS = "pivotscore.backend.tasks"
 REQUEST_COLS = ["backend", "src", "tgt", "src_code", "tgt_code", "text"]
 
 
@@ -63,8 +65,13 @@ def misses(requests: DataFrame, cache: CacheStore, backends: list[str],
 
 
 def enrich(miss: DataFrame, backends: list[str]) -> DataFrame:
-    """Run each backend over its own misses; returns key, value, failed, ..."""
-    parts = [apply_backend(miss.filter(F.col("backend") == b), get_backend(b))
+    """Run each backend over its own misses; returns key, value, failed, ...
+
+    Misses are few bytes but slow calls, so they are dealt out by key over
+    ``CALLS`` tasks, a number that adaptive execution does not lower.
+    """
+    calls = int(miss.sparkSession.conf.get(CALLS, miss.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = [apply_backend(miss.filter(F.col("backend") == b).repartition(calls, "key"), get_backend(b))
              .select("key", *REQUEST_COLS, "value", "failed") for b in backends]
     out = parts[0]
     for p in parts[1:]:
@@ -76,20 +83,20 @@ def resolve(requests: DataFrame, cache: CacheStore, backends: list[str],
             targets: list[str] | None = None) -> DataFrame:
     """D1 over a set: requests + key, value, failed, from_cache.
 
-    The cache is scanned once: the lookup is written out, misses (one row per
-    key) are taken from it, enriched and written, the successful ones are
-    appended to the cache, and the result joins lookup and fresh values by
-    key.  ``targets`` (the target languages of the requests, when known)
-    prunes the cache scan to those partitions.
+    Works at the grain of distinct keys: the keys that the cache lacks are
+    enriched and their good values appended to the cache, which is the only
+    copy of a value; the requests then join the cache by key alone.  A key
+    that is still absent has failed and keeps its text.  ``targets`` (the
+    target languages of the requests, when known) prunes the cache scan.
     """
-    looked = materialize(lookup(requests, cache, backends, targets), "lookup")
-    miss = (looked.filter(F.col("cached").isNull()).select("key", *REQUEST_COLS)
-            .dropDuplicates(["key"]))
-    fresh = materialize(enrich(miss, backends), "fresh")
-    cache.append(fresh.filter(~F.col("failed")).select("key", "src", "tgt", "value", "backend"))
-    new = fresh.select("key", F.col("value").alias("_new"), F.col("failed").alias("_failed"))
-    out = looked.join(new, "key", "left")
-    return (out.withColumn("value", F.coalesce("cached", "_new"))
-            .withColumn("failed", F.coalesce("_failed", F.lit(False)))
-            .withColumn("from_cache", F.col("cached").isNotNull())
-            .drop("cached", "_new", "_failed"))
+    batch = uuid.uuid4().hex
+    todo = misses(requests, cache, backends, targets)
+    cache.append(enrich(todo, backends).filter(~F.col("failed")).withColumn("batch", F.lit(batch))
+                 .select("key", "src", "tgt", "value", "backend", "batch"))
+    held = cache.read(backends, targets).select("key", F.col("value").alias("_value"), (F.col("batch") != batch).alias("_old"))
+    # An empty text needs no call and has no failure.
+    out = with_key(requests).join(held, "key", "left")
+    return (out.withColumn("value", F.coalesce("_value", "text"))
+            .withColumn("failed", F.col("_value").isNull() & F.col("text").isNotNull())
+            .withColumn("from_cache", F.coalesce("_old", F.lit(False)))
+            .drop("_value", "_old"))

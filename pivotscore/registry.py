@@ -275,14 +275,14 @@ def q_translate_step(spark, sf):
     g = _grid(spark, sf).select("backend", "language", "sent_id", F.lit("en").alias("src"),
                                 F.col("language").alias("tgt"), F.lit(None).cast("int").alias("src_code"),
                                 F.col("code").alias("tgt_code"), "text")
-    r = TR.resolve(g, CacheStore.shared(spark), BACKENDS, P.names(dims.pivots(spark, sf)))
+    r = TR.resolve(g, CacheStore.fresh(spark), BACKENDS, P.names(dims.pivots(spark, sf)))
     return r.select("backend", "language", "sent_id", "value", "failed")
 
 
 @register("back_translate", TS.back_translate_sql())
 def q_back_translate(spark, sf):
     bt = P.back_translate(tables.sentences(spark, sf), dims.pivots(spark, sf), BACKENDS,
-                          CacheStore.shared(spark))
+                          CacheStore.fresh(spark))
     return bt.select("backend", "family", "language", "domain", "sent_id", "forward", "back",
                      "forward_failed", "back_failed")
 
@@ -290,17 +290,17 @@ def q_back_translate(spark, sf):
 @register("back_translation_cells", TS.back_translation_cells_sql())
 def q_bt_cells(spark, sf):
     return P.back_translation_cells(tables.sentences(spark, sf), dims.pivots(spark, sf), BACKENDS,
-                                    CacheStore.shared(spark))
+                                    CacheStore.fresh(spark))
 
 
 def _chain(spark, sf):
     return P.telephone_chain(tables.sentences(spark, sf), dims.chain_dim(spark, sf), BACKENDS,
-                             CacheStore.shared(spark))
+                             CacheStore.fresh(spark))
 
 
 def _round_trip(spark, sf, rounded=False):
     return P.round_trip(tables.sentences(spark, sf), dims.round_trip_languages(spark, sf), BACKENDS,
-                        CacheStore.shared(spark), rounded=rounded)
+                        CacheStore.fresh(spark), rounded=rounded)
 
 
 @register("telephone_chain", TS.telephone_chain_sql())
@@ -490,9 +490,10 @@ SEED_BACKEND = "alpha"
 
 def _seeded_cache(spark, sf) -> CacheStore:
     """A cache filled by one round trip with the seed backend, built once per
-    table directory and reused (its content is a pure function of the tables)."""
+    application and table directory, so that a changed table is never answered
+    from an older one."""
     import hashlib
-    tag = hashlib.md5(f"{sf}|{SEED_BACKEND}".encode()).hexdigest()[:16]
+    tag = hashlib.md5(f"{spark.sparkContext.applicationId}|{sf}|{SEED_BACKEND}".encode()).hexdigest()[:16]
     path = subpath(spark, "pivotscore", "fixtures", tag)
     cache = CacheStore(spark, f"{path}/cache")
     from .session import path_exists
@@ -528,3 +529,51 @@ def q_unique_keys(spark, sf):
     return c.rollup("backend", "tgt").agg(
         F.countDistinct("key").alias("n_keys"),
         F.sum((~F.col("key").rlike("^[0-9a-f]{32}$")).cast("int")).alias("n_bad"))
+
+
+# ---- replay of all protocols against the seeded cache --------------------------- #
+
+from .plans import audit  # noqa: E402
+
+
+def _lookups(spark, sf):
+    return audit.replay(tables.sentences(spark, sf), dims.pivots(spark, sf), dims.chain_dim(spark, sf),
+                        dims.round_trip_languages(spark, sf), BACKENDS, _seeded_cache(spark, sf))
+
+
+@register("replay_requests", TS.replay_sql(SEED_BACKEND, "replay_requests"))
+def q_replay_requests(spark, sf):
+    return audit.requests(_lookups(spark, sf))
+
+
+@register("key_owners", TS.replay_sql(SEED_BACKEND, "key_owners"))
+def q_key_owners(spark, sf):
+    return audit.owner_sets(_lookups(spark, sf))
+
+
+@register("keys_by_tag", TS.replay_sql(SEED_BACKEND, "keys_by_tag"))
+def q_keys_by_tag(spark, sf):
+    return audit.keys_by_tag(_lookups(spark, sf))
+
+
+@register("replay_misses", TS.replay_sql(SEED_BACKEND, "replay_misses"))
+def q_replay_misses(spark, sf):
+    return audit.missed(_lookups(spark, sf))
+
+
+@register("key_overlap", TS.replay_sql(SEED_BACKEND, "key_overlap"))
+def q_key_overlap(spark, sf):
+    return audit.overlap(_lookups(spark, sf))
+
+
+@register("unattributed_keys", TS.unattributed_sql(SEED_BACKEND))
+def q_unattributed(spark, sf):
+    return audit.unattributed(_lookups(spark, sf), _seeded_cache(spark, sf))
+
+
+@register("language_sets", O.with_(O.BASE, """SELECT a.translator AS translator_a, b.translator AS translator_b,
+ count(DISTINCT a.language) FILTER (WHERE a.language NOT IN (SELECT language FROM cells c WHERE c.translator = b.translator)) AS n_only_a,
+ count(DISTINCT b.language) FILTER (WHERE b.language NOT IN (SELECT language FROM cells c WHERE c.translator = a.translator)) AS n_only_b
+ FROM cells a JOIN cells b ON a.translator < b.translator GROUP BY ALL"""))
+def q_language_sets(spark, sf):
+    return relate.language_sets(_cells(spark, sf))

@@ -80,3 +80,41 @@ def test_family_bands_unclassified(spark):
     rows = {r["language"]: r for r in marts.family_bands(cells, langs).collect()}
     assert rows["es"]["row"] == 0 and rows["fr"]["row"] == 1
     assert rows["xx"]["family"] == "unclassified" and (rows["xx"]["start"], rows["xx"]["stop"]) == (2, 3)
+
+
+def test_unlisted_domain_raises(spark):
+    from pivotscore.operators import marts
+    df = spark.createDataFrame([("t", "f", "l", "LARGE", 1.0), ("t", "f", "l", "ODD", 2.0)],
+                               "translator string, family string, language string, domain string, bleu double")
+    with pytest.raises(Exception, match="domain not in the report"):
+        marts.long_to_wide(df, ["LARGE"], ["bleu"]).collect()
+    with pytest.raises(Exception, match="domain not in the report"):
+        marts.heatmap_matrix(df, ["LARGE"], "bleu").collect()
+
+
+def test_box_stats_are_exact_whatever_the_partitions(spark):
+    import numpy as np
+    from pivotscore.operators import marts
+    rng = np.random.RandomState(2)
+    v = rng.randn(999).round(2)
+    df = spark.createDataFrame([("a" if i % 3 else "b", float(x)) for i, x in enumerate(v)], "k string, m double").repartition(7)
+    for r in marts.box_stats(df, ["k"], "m").collect():
+        mine = np.array([x for i, x in enumerate(v) if bool(i % 3) == (r["k"] == "a")])
+        assert [r["q1"], r["median"], r["q3"]] == pytest.approx(np.quantile(mine, [0.25, 0.5, 0.75]).round(4).tolist(), abs=1e-4)
+
+
+def test_result_files_and_sinks(spark, tmp_path):
+    """Typed CSV read, partition overwrite, append per (translator, order)."""
+    (tmp_path / "r.csv").write_text("translator,order,bleu\ng,x,1.5\nn,y,\n")
+    df = spark.read.schema("translator string, order string, bleu double").csv(str(tmp_path / "r.csv"), header=True)
+    assert [r["bleu"] for r in df.orderBy("translator").collect()] == [1.5, None]
+    out = str(tmp_path / "out")
+    for _ in range(2):
+        df.write.mode("append").partitionBy("translator", "order").parquet(out)
+    assert spark.read.parquet(out).count() == 4
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        df.filter("translator = 'g'").write.mode("overwrite").partitionBy("translator", "order").parquet(out)
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert sorted(r["translator"] for r in spark.read.parquet(out).collect()) == ["g", "n", "n"]

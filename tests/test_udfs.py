@@ -51,3 +51,45 @@ def test_r_pvalue():
     r = 0.6
     t = r * (2 ** 0.5) / (1 - r * r) ** 0.5
     assert pvalues.r_sf(r, 4) == pytest.approx(1 - t / (2 + t * t) ** 0.5, rel=1e-9)
+
+
+@pytest.mark.parametrize("h,r,edits", [
+    ("b a c d e f g h j i", "a b c d e f g h i j", 2), ("b a c d f e g h j i", "a b c d e f g h i j", 3),
+    ("a b c g h d e f", "a b c d e f g h", 1), ("d e f a b c g", "a b c d e f g", 1), ("x", "a b", 2)])
+def test_each_shift_costs_one_edit(h, r, edits):
+    assert ter.ter_edits(h, r)[0] == edits
+
+
+def test_ter_is_at_least_the_cheapest_shift_sequence():
+    """Greedy search against all sequences of block moves, on short texts."""
+    import itertools
+    import random
+
+    def moves(w):
+        for i in range(len(w)):
+            for n in range(1, len(w) - i + 1):
+                rest, block = w[:i] + w[i + n:], w[i:i + n]
+                for k in range(len(rest) + 1):
+                    yield rest[:k] + block + rest[k:]
+
+    rng = random.Random(3)
+    for _ in range(25):
+        r = [rng.choice("abcde") for _ in range(5)]
+        h = [rng.choice("abcde") for _ in range(5)]
+        best, level = lev(h, r), {tuple(h)}
+        for shifts in (1, 2):
+            level = set(itertools.chain.from_iterable(map(tuple, moves(list(w))) for w in level))
+            best = min([best, *(shifts + lev(w, r) for w in level)])
+        got = ter.ter_edits(" ".join(h), " ".join(r))[0]
+        assert best <= got <= lev(h, r)
+
+
+@pytest.mark.parametrize("d", [1e3, 1e5, 1e7, 1e9])
+def test_p_value_at_large_degrees_of_freedom(d):
+    assert pvalues.f_sf(1.0, d, d) == pytest.approx(0.5, abs=1e-9)
+
+
+def test_p_value_that_does_not_settle_raises(monkeypatch):
+    monkeypatch.setattr(pvalues, "MOST_TERMS", 3)
+    with pytest.raises(ArithmeticError):
+        pvalues.f_sf(1.1, 1e6, 1e6)
