@@ -191,15 +191,16 @@ def avg_rank(v: str, part: str) -> str:
 
 
 def xcells_cte() -> str:
-    cols_a = ", ".join(f"round(a.{m}, 6) AS {m}_a" for m in METRICS4)
-    cols_b = ", ".join(f"round(b.{m}, 6) AS {m}_b" for m in METRICS4)
+    cols_a = ", ".join(f"a.{m} AS {m}_a" for m in METRICS4)
+    cols_b = ", ".join(f"b.{m} AS {m}_b" for m in METRICS4)
     return (f"x AS (SELECT a.translator AS translator_a, b.translator AS translator_b, a.family, a.language, a.domain, "
             f"{cols_a}, {cols_b} FROM cells a JOIN cells b ON a.family = b.family AND a.language = b.language "
             f"AND a.domain = b.domain AND a.translator < b.translator)")
 
 
 def cross_backend_sql() -> str:
-    return with_(BASE + [xcells_cte()], "SELECT * FROM x")
+    cols = ", ".join(f"round({m}_{k}, 6) AS {m}_{k}" for k in "ab" for m in METRICS4)
+    return with_(BASE + [xcells_cte()], f"SELECT translator_a, translator_b, family, language, domain, {cols} FROM x")
 
 
 def spearman_cells_sql() -> str:

@@ -76,8 +76,8 @@ def average_rank(value: str, part: list[str]):
 def cross_backend_cells(df: DataFrame, metrics: list[str], keys: list[str] = CELL,
                         by: str = "translator") -> DataFrame:
     """Cells of two backends matched on keys (a < b), metrics suffixed."""
-    a = df.select(F.col(by).alias("translator_a"), *keys, *[F.round(m, 6).alias(f"{m}_a") for m in metrics])
-    b = df.select(F.col(by).alias("translator_b"), *keys, *[F.round(m, 6).alias(f"{m}_b") for m in metrics])
+    a = df.select(F.col(by).alias("translator_a"), *keys, *[F.col(m).alias(f"{m}_a") for m in metrics])
+    b = df.select(F.col(by).alias("translator_b"), *keys, *[F.col(m).alias(f"{m}_b") for m in metrics])
     return a.join(b, keys).filter(F.col("translator_a") < F.col("translator_b"))
 
 

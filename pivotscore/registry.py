@@ -40,11 +40,20 @@ def _cells(spark, sf):
     return tables.cells(spark, sf)
 
 
+def _cells_once(spark, sf):
+    """The cells written once, for queries that use them more than once.
+
+    Line items are scanned one time; the cells are bounded by the dimensions.
+    """
+    from .plans.translate import materialize
+    return materialize(tables.cells(spark, sf), "cells")
+
+
 # ---- statistics over the long fact table ---------------------------------- #
 
 @register("headline", O.headline_sql())
 def q_headline(spark, sf):
-    return stats.headline(_cells(spark, sf), "bleu")
+    return stats.headline(_cells_once(spark, sf), "bleu")
 
 
 @register("summary_by_family", O.summary_sql("family", "bleu"))
@@ -79,12 +88,12 @@ def q_anova_translator(spark, sf):
 
 @register("variance_decomposition", O.variance_decomposition_sql("bleu"))
 def q_vardec(spark, sf):
-    return stats.variance_decomposition(_cells(spark, sf), "bleu")
+    return stats.variance_decomposition(_cells_once(spark, sf), "bleu")
 
 
 @register("eta2_all_metrics", O.eta2_all_sql())
 def q_eta2_all(spark, sf):
-    return stats.eta2_all_metrics(_cells(spark, sf), METRICS4)
+    return stats.eta2_all_metrics(_cells_once(spark, sf), METRICS4)
 
 
 @register("best_worst_family", O.best_worst_sql("family", "bleu"))
@@ -121,47 +130,48 @@ def q_corr_matrix(spark, sf):
 
 @register("corr_pooled", O.corr_pooled_sql())
 def q_corr_pooled(spark, sf):
-    return relate.corr_pooled(_cells(spark, sf), O.CORR_PAIRS)
+    return relate.corr_pooled(_cells_once(spark, sf), O.CORR_PAIRS)
 
 
 @register("ols_fit", O.ols_sql())
 def q_ols(spark, sf):
-    return relate.ols_fit(_cells(spark, sf), O.OLS_PAIRS)
+    return relate.ols_fit(_cells_once(spark, sf), O.OLS_PAIRS)
 
 
 @register("cross_backend_cells", O.cross_backend_sql())
 def q_xcells(spark, sf):
-    return relate.cross_backend_cells(_cells(spark, sf), METRICS4)
+    x = relate.cross_backend_cells(_cells_once(spark, sf), METRICS4)
+    return x.select(*[F.round(c, 6).alias(c) if c[:-2] in METRICS4 else F.col(c) for c in x.columns])
 
 
 @register("backend_agreement", O.agreement_sql())
 def q_agreement(spark, sf):
-    return relate.backend_agreement(_cells(spark, sf), METRICS4)
+    return relate.backend_agreement(_cells_once(spark, sf), METRICS4)
 
 
 @register("backend_delta", O.backend_delta_sql("family", "bleu"))
 def q_delta(spark, sf):
-    return relate.backend_delta(_cells(spark, sf), "family", "bleu")
+    return relate.backend_delta(_cells_once(spark, sf), "family", "bleu")
 
 
 @register("spearman_cells", O.spearman_cells_sql())
-def q_spearman_cells(spark, sf):
-    return relate.spearman_cells(_cells(spark, sf), METRICS4)
+def q_spearman_cells_once(spark, sf):
+    return relate.spearman_cells(_cells_once(spark, sf), METRICS4)
 
 
 @register("spearman_family", O.spearman_groups_sql("family", "bleu"))
 def q_spearman_family(spark, sf):
-    return relate.spearman_groups(_cells(spark, sf), "family", "bleu")
+    return relate.spearman_groups(_cells_once(spark, sf), "family", "bleu")
 
 
 @register("spearman_domain", O.spearman_groups_sql("domain", "bleu"))
 def q_spearman_domain(spark, sf):
-    return relate.spearman_groups(_cells(spark, sf), "domain", "bleu")
+    return relate.spearman_groups(_cells_once(spark, sf), "domain", "bleu")
 
 
 @register("kendall_tau", O.kendall_sql("domain", "bleu", "cosine"))
 def q_kendall(spark, sf):
-    return relate.kendall_tau(_cells(spark, sf), "domain", "bleu", "cosine")
+    return relate.kendall_tau(_cells_once(spark, sf), "domain", "bleu", "cosine")
 
 
 @register("group_ranks", O.group_ranks_sql("family"))
@@ -171,7 +181,7 @@ def q_group_ranks(spark, sf):
 
 @register("rank_movement", O.rank_movement_sql("family", "bleu"))
 def q_rank_movement(spark, sf):
-    return relate.rank_movement(_cells(spark, sf), "family", "bleu")
+    return relate.rank_movement(_cells_once(spark, sf), "family", "bleu")
 
 
 # ---- report tables ---------------------------------------------------------- #
@@ -471,14 +481,14 @@ def q_word_edit_rate(spark, sf):
 
 @register("anova_p")
 def q_anova_p(spark, sf):
-    c = tables.cells(spark, sf)
+    c = _cells_once(spark, sf)
     a = stats.anova(c, "family", "bleu").unionByName(stats.anova(c, "domain", "bleu"))
     return a.withColumn("sig", pvalues.stars(F.col("p")))
 
 
 @register("corr_pvalues")
 def q_corr_pvalues(spark, sf):
-    r = relate.corr_pooled(tables.cells(spark, sf), O.CORR_PAIRS)
+    r = relate.corr_pooled(_cells_once(spark, sf), O.CORR_PAIRS)
     return r.withColumn("p", pvalues.r_pvalue(F.col("r"), F.col("n").cast("double"))) \
         .withColumn("sig", pvalues.stars(F.col("p")))
 
