@@ -538,3 +538,21 @@ def replay_sql(seed_backend: str, name: str) -> str:
 def unattributed_sql(seed_backend: str) -> str:
     return with_ctes(replay_ctes(seed_backend),
                      f"SELECT {q(seed_backend)} AS backend, count(*) AS n_keys, sum(CAST(k NOT IN (SELECT k FROM own) AS BIGINT))::BIGINT AS n_unattributed FROM ck")
+
+
+def word_vector_sql() -> str:
+    """Plain joins and sums: one row per word of a text and dimension."""
+    def words(col):
+        return f"unnest({split_tokens(tok13a(f'lower({col})'))})"
+
+    return f"""WITH cp AS (SELECT c.conv_id, c.turn, c.role, c.text AS original, n.text AS candidate FROM conversations c
+ JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1),
+w AS (SELECT conv_id, turn, 'r' AS side, {words('original')} AS word FROM cp
+ UNION ALL SELECT conv_id, turn, 'h', {words('candidate')} FROM cp),
+n AS (SELECT conv_id, turn, side, word, count(*) AS n FROM w GROUP BY ALL),
+v AS (SELECT vec_id, generate_subscripts(embedding, 1) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+s AS (SELECT conv_id, turn, dim, sum(CASE WHEN side = 'r' THEN n * v ELSE 0 END) AS r, sum(CASE WHEN side = 'h' THEN n * v ELSE 0 END) AS h
+ FROM n JOIN v ON v.vec_id = ('0x' || substr(md5(word), 1, 8))::BIGINT % (SELECT max(vec_id) + 1 FROM embeddings) GROUP BY ALL),
+p AS (SELECT conv_id, turn, sum(r * h) AS dot, sum(r * r) AS rr, sum(h * h) AS hh FROM s GROUP BY ALL)
+SELECT cp.role, round(avg(CASE WHEN p.rr > 0 AND p.hh > 0 THEN p.dot / sqrt(p.rr * p.hh) ELSE 0.0 END), 6) AS cosine, count(*) AS n_pairs
+FROM cp LEFT JOIN p USING (conv_id, turn) GROUP BY cp.role"""

@@ -154,3 +154,30 @@ def vector_cosine(a: Column, b: Column) -> Column:
     na = F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double"))
     nb = F.aggregate(b, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double"))
     return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot / F.sqrt(na * nb))
+
+
+def word_vector_cosine(pairs: DataFrame, ids: list[str], ref: str, hyp: str, vectors: DataFrame) -> DataFrame:
+    """Cosine of the mean word vectors of two texts, per pair (``ids``).
+
+    ``vectors(word, vector)`` holds lower-cased words; words without a vector
+    are left out, and a text without any has cosine 0.  The mean's length
+    does not matter, so vectors are summed: words are counted per text, joined
+    once, and summed by dimension.  The join carries no hint, so a vector
+    table of any size will do.
+    """
+    def side(text, name):
+        tokens = T.split_tokens(T.tokenize_13a(F.lower(F.coalesce(F.col(text), F.lit("")))))
+        return pairs.select(*ids, F.lit(name).alias("side"), F.explode(tokens).alias("word"))
+
+    counted = side(ref, "r").unionByName(side(hyp, "h")).groupBy(*ids, "side", "word").agg(F.count(F.lit(1)).alias("n"))
+    dims = (counted.join(vectors.select("word", "vector"), "word")
+            .select(*ids, "side", "n", F.posexplode("vector").alias("dim", "v")))
+
+    def total(name):
+        return F.sum(F.when(F.col("side") == name, F.col("n") * F.col("v").cast("double")).otherwise(0.0)).alias(name)
+
+    sums = dims.groupBy(*ids, "dim").agg(total("r"), total("h"))
+    parts = sums.groupBy(*ids).agg(F.sum(F.col("r") * F.col("h")).alias("dot"), F.sum(F.col("r") * F.col("r")).alias("rr"),
+                                   F.sum(F.col("h") * F.col("h")).alias("hh"))
+    parts = parts.select(*ids, _cos(F.col("dot"), F.col("rr"), F.col("hh")).alias("cosine"))
+    return pairs.select(*ids).join(parts, ids, "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))

@@ -276,8 +276,10 @@ def q_request_keys(spark, sf):
 
 @register("cell_grid", TS.cell_grid_sql())
 def q_cell_grid(spark, sf):
-    return (_grid(spark, sf).groupBy("backend", "family", "language", "domain")
-            .agg(F.count(F.lit(1)).alias("n_sentences")))
+    """Sentences are counted per domain before the grid is laid out."""
+    per = tables.sentences(spark, sf).groupBy("domain").agg(F.count(F.lit(1)).alias("n_sentences"))
+    return (per.crossJoin(dims.pivots(spark, sf).select("family", "language")).crossJoin(P.backends_frame(spark, BACKENDS))
+            .groupBy("backend", "family", "language", "domain").agg(F.sum("n_sentences").alias("n_sentences")))
 
 
 @register("translate_step", TS.translate_step_sql())
@@ -360,6 +362,20 @@ def q_lexical_cosine(spark, sf):
     return _conv_scores(spark, sf).select("role", "cosine", "n_pairs")
 
 
+@register("word_vector_cosine", TS.word_vector_sql())
+def q_word_vectors(spark, sf):
+    """Words take their vectors from ``embeddings`` by a hash of the word."""
+    pairs = tables.conversation_pairs(spark, sf)
+    e = dims.load_table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    tokens = scoring.T.split_tokens(scoring.T.tokenize_13a(F.lower("text")))
+    words = dims.load_table(spark, sf, "conversations").select(F.explode(tokens).alias("word")).distinct()
+    size = e.agg((F.max("vec_id") + 1).alias("size"))
+    number = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long")
+    vectors = words.crossJoin(size).withColumn("vec_id", F.pmod(number, F.col("size"))).join(e, "vec_id").select("word", "vector")
+    c = scoring.word_vector_cosine(pairs, ["conv_id", "turn", "role"], "original", "candidate", vectors)
+    return c.groupBy("role").agg(F.round(F.avg("cosine"), 6).alias("cosine"), F.count(F.lit(1)).alias("n_pairs"))
+
+
 @register("embedding_cosine", TS.embedding_cosine_sql())
 def q_embedding_cosine(spark, sf):
     v = tables.vector_pairs(spark, sf)
