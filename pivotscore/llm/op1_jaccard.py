@@ -9,9 +9,14 @@ the node's path and the token, and goes on to the nodes named after them, so
 similar sets tend to pick a shared token.  Buckets of at most ``LIMIT`` sets
 are compared pair by pair; larger ones are split again.  Runs are repeated
 until the chance of missing a pair at the threshold is below ``MISS``; all
-runs go through the cluster side by side.  Candidates are then checked
-exactly on the documents' whole shingle sets.  A bucket that is still too
-large after the deepest split is compared in blocks, so nothing is dropped.
+runs go through the cluster side by side.  A bucket that is still too large
+after the deepest split is compared in blocks, so nothing is dropped.
+
+A bucket gives no list of pairs but a forest that connects its similar sets.
+The forests' components are the candidate groups; inside each, all pairs are
+checked exactly on the whole shingle sets, block by block for large groups,
+and give each set's number of links and again a forest.  So what is written
+and shuffled grows with the sets, not with the pairs.
 
 Defined results: words are as written; a text of one to four words is one
 shingle, its word list; a text without words, or null, links to nothing and
@@ -42,6 +47,8 @@ SHINGLE, TOKENS, LIMIT, DEEPEST = 5, 64, 1024, 3
 PICK = 0.6
 #: The chance of missing a pair at the threshold through all runs.
 MISS = 1e-5
+#: Sets of a block in the exact check, and columns of its matrix products.
+BLOCK, COLUMNS = 256, 16_384
 _SLACK = 0.25  # of the estimate from the embedding, five standard deviations
 _RNG = np.random.RandomState(7)
 _MUL = _RNG.randint(1, 2 ** 62, TOKENS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -137,8 +144,28 @@ def split(nodes: DataFrame, n_runs: int | None = None) -> DataFrame:
     return nodes.select(*cols).mapInArrow(rows, "node long, sid binary")
 
 
+def forest(n: int, pairs) -> list[tuple[int, int]]:
+    """Edges that connect what the pairs (two arrays each) of 0..n-1 connect."""
+    up = list(range(n))
+
+    def top(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    out = []
+    for x, y in pairs:
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            i, j = top(i), top(j)
+            if i != j:
+                up[max(i, j)] = min(i, j)
+                out.append((i, j))
+    return out
+
+
 def compare(cells: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs inside a cell that the embeddings and sizes allow.
+    """(a, b): a forest of the pairs inside a cell that the embeddings and sizes allow.
 
     ``cells(cell, side, sid, n, sig)``: with side null a cell's sets are all
     compared, else those of side 0 with those of side 1.
@@ -199,7 +226,8 @@ def compare(cells: DataFrame, threshold: float) -> DataFrame:
         got = [x for z in np.unique(sizes[small & (sizes > 1)]) for x in few(starts[small & (sizes == z)], z, n, sig)]
         for k in np.flatnonzero(~small & (sizes > 1)):
             got += many(starts[k], starts[k] + sizes[k], side, n, sig)
-        found = {(ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i]) for x, y in got for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+        # Cells share no row, so one forest over the rows holds each cell's own.
+        found = {(ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i]) for i, j in forest(len(ids), got)}
         a, b = zip(*found, strict=True) if found else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
@@ -208,7 +236,7 @@ def compare(cells: DataFrame, threshold: float) -> DataFrame:
 
 
 def candidates(distinct: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): distinct candidate pairs of ``distinct(sid, n, sig)`` from all runs."""
+    """(a, b): forests of the candidate pairs of ``distinct(sid, n, sig)`` from all runs."""
     found = None
     nodes = split(distinct, runs(threshold))
     for depth in range(1, DEEPEST + 1):
@@ -224,45 +252,103 @@ def candidates(distinct: DataFrame, threshold: float) -> DataFrame:
         if depth < DEEPEST:
             nodes = split(large.join(distinct, "sid").select("node", "sid", "sig"))
     # Still too large: every pair of blocks of such a bucket is a cell of its own.
-    n_blocks = F.ceil(F.col("members") / LIMIT).cast("int")
-    own = F.pmod(F.xxhash64("sid"), n_blocks.cast("long")).cast("int")
-    dealt = (large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-             .withColumn("cell", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
-             .withColumn("side", F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))))
+    dealt = blocks(large, "node", F.col("members"), LIMIT)
     found = found.unionByName(compare(dealt.select("cell", "side", "sid").join(distinct, "sid"), threshold))
     return cut(found.distinct())
 
 
-def verify(docs: DataFrame, chosen_rows: DataFrame, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(a, b): the pairs whose whole shingle sets reach the threshold.
+def blocks(members: DataFrame, key: str, count, size: int) -> DataFrame:
+    """Deal the rows of a group (``key``, with ``count`` rows) into cells: one for each pair of its blocks."""
+    n = F.ceil(count / size).cast("int")
+    own = F.pmod(F.xxhash64("sid"), n.cast("long")).cast("int")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    return (dealt.withColumn("cell", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other")))
+            .withColumn("side", F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))))
 
-    Only the texts of sets on some pair are read again (``chosen_rows(sid,
-    rk)`` names one row of each set).
+
+def intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the pairwise intersections of two lists of sorted sets.
+
+    Only hashes in both lists count; they become the columns of 0/1 matrices
+    whose product, some columns at a time, is exact in single precision.
+    """
+    out = np.zeros((len(one), len(two)), np.float32)
+    x, y = np.concatenate(one), np.concatenate(two)
+    common = np.intersect1d(x, y) if one is not two else np.unique(x)
+    rows = [np.repeat(np.arange(len(z)), [len(v) for v in z]) for z in (one, two)]
+    cols = [np.searchsorted(common, v) for v in (x, y)]
+    keep = [common[np.minimum(c, len(common) - 1)] == v if len(common) else np.zeros(len(v), bool) for c, v in zip(cols, (x, y), strict=True)]
+    rows, cols = [r[k] for r, k in zip(rows, keep, strict=True)], [c[k] for c, k in zip(cols, keep, strict=True)]
+    order = [np.argsort(c, kind="stable") for c in cols]
+    rows, cols = [r[o] for r, o in zip(rows, order, strict=True)], [c[o] for c, o in zip(cols, order, strict=True)]
+    for at in range(0, len(common), COLUMNS):
+        m = []
+        for r, c, z in zip(rows, cols, (one, two), strict=True):
+            lo, hi = np.searchsorted(c, [at, at + COLUMNS])
+            d = np.zeros((len(z), min(COLUMNS, len(common) - at)), np.float32)
+            d[r[lo:hi], c[lo:hi] - at] = 1
+            m.append(d)
+        out += m[0] @ m[1].T
+    return out
+
+
+def verify(docs: DataFrame, distinct: DataFrame, groups: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Exact links inside the candidate groups: (sid, others) per set, and (a, b), a forest of the links.
+
+    ``distinct(sid, rk, copies)`` names one row of each set, ``groups(id,
+    root)`` the sets of each group.  Only these sets' texts are read again.
+    A link counts with the copies of the set on its other end.
     """
     num, den = threshold.as_integer_ratio() if threshold != 0.8 else (4, 5)
-    on_pair = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    need = cut(chosen_rows.join(on_pair, "sid"))
+    counts = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    need = cut(groups.withColumnRenamed("id", "sid").join(distinct.select("sid", "rk", "copies"), "sid").join(counts, "root"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("sid"), pa.array([shingles(t, size).tobytes() for t in b.column("text").to_pylist()], pa.binary())],
-                                             names=["sid", "set"])
+            sets_ = pa.array([shingles(t, size).tobytes() for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("sid"), b.column("root"), b.column("members"), b.column("copies"), sets_],
+                                             names=["sid", "root", "members", "copies", "set"])
 
     texts = (docs.select(row_key("doc_id", "text").alias("rk"), "text").join(need, "rk")
-             .groupBy("sid").agg(F.first("text").alias("text")))  # rows repeated whole
-    whole = cut(texts.mapInArrow(hashes, "sid binary, set binary"))
+             .groupBy("sid", "root", "members", "copies").agg(F.first("text").alias("text")))  # rows repeated whole
+    whole = cut(texts.mapInArrow(hashes, "sid binary, root binary, members long, copies long, set binary"))
+    dealt = blocks(whole, "root", F.col("members"), BLOCK).select("cell", "side", "sid", "copies", "set")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    x, y = whole.withColumnsRenamed({"sid": "a", "set": "x"}), whole.withColumnsRenamed({"sid": "b", "set": "y"})
-    return cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(test, "a binary, b binary"))
+            for r in b.to_pylist():
+                if held and held[0]["cell"] != r["cell"]:
+                    yield linked(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield linked(held)
+
+    def linked(rows: list[dict]) -> pa.RecordBatch:
+        side, copies = np.array([r["side"] for r in rows]), np.array([r["copies"] for r in rows], np.int64)
+        whole_sets = [np.frombuffer(r["set"], np.uint64) for r in rows]
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        others, edges = np.zeros(len(rows), np.int64), []
+        if len(left) and len(right):
+            one = [whole_sets[k] for k in left]
+            both = intersections(one, one if (side < 0).all() else [whole_sets[k] for k in right]).astype(np.int64)
+            n = np.array([len(v) for v in whole_sets], np.int64)
+            near = den * both >= num * (n[left][:, None] + n[right][None, :] - both)
+            near &= left[:, None] != right[None, :]
+            others[left] += near @ copies[right]
+            if not (side < 0).all():
+                others[right] += near.T @ copies[left]
+            x, y = np.nonzero(near)
+            edges = forest(len(rows), [(left[x], right[y])])
+        a = [r["sid"] for r in rows] + [rows[i]["sid"] for i, _ in edges]
+        b = [None] * len(rows) + [rows[j]["sid"] for _, j in edges]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([*others.tolist(), *[0] * len(edges)], pa.int64())],
+                                          names=["a", "b", "others"])
+
+    told = cut(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(test, "a binary, b binary, others long"))
+    degree = told.filter("b is null").groupBy(F.col("a").alias("sid")).agg(F.sum("others").alias("others"))
+    return degree, told.filter("b is not null").select("a", "b")
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = 0.8) -> DataFrame:
@@ -276,10 +362,8 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = 0.8) -> Dat
     distinct = cut(rows.filter("sid is not null").groupBy("sid")
                    .agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"), F.min("rk").alias("rk"),
                         F.first("n").alias("n"), F.first("sig").alias("sig")))
-    links = verify(docs, distinct.select("sid", "rk"), candidates(distinct.select("sid", "n", "sig"), threshold), size, threshold)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = distinct.select(F.col("sid").alias("b"), "copies")
-    degree = both.join(copies, "b").groupBy(F.col("a").alias("sid")).agg(F.sum("copies").alias("others"))
+    groups = cut(components(candidates(distinct.select("sid", "n", "sig"), threshold)))
+    degree, links = verify(docs, distinct, groups, size, threshold)
     root = components(links).select(F.col("id").alias("sid"), "root")
     named = (distinct.select("sid", "copies", "low").join(root, "sid", "left")
              .withColumn("root", F.coalesce("root", "sid")))

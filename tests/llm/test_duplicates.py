@@ -46,6 +46,8 @@ def test_large_buckets_are_split_and_dealt_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(op1_jaccard, "LIMIT", 4)
     monkeypatch.setattr(op1_jaccard, "DEEPEST", 2)
     monkeypatch.setattr(op1_jaccard, "MISS", 1e-2)
+    monkeypatch.setattr(op1_jaccard, "BLOCK", 7)
+    monkeypatch.setattr(op1_jaccard, "COLUMNS", 50)
     rng = random.Random(2)
     base = [f"w{k}" for k in range(120)]
     rows = []
