@@ -57,11 +57,13 @@ def balanced(edges: np.ndarray, x: np.ndarray, parts: int, rounds: int = 12, see
     n = len(x)
     label = np.zeros(n, np.int64)
     for _ in range(int(math.log2(parts))):
+        finer = np.zeros(n, np.int64)
         for p in np.unique(label):
             rows = np.flatnonzero(label == p)
             c = x[rows] - x[rows].mean(0)
             axis = np.linalg.eigh(c.T @ c)[1][:, -1]
-            label[rows] = 2 * p + (np.argsort(np.argsort(c @ axis, kind="stable"), kind="stable") >= len(rows) // 2)
+            finer[rows] = 2 * p + (np.argsort(np.argsort(c @ axis, kind="stable"), kind="stable") >= len(rows) // 2)
+        label = finer
     cap = math.ceil(1.05 * n / parts)
     rng = np.random.RandomState(seed)
     votes = np.zeros((n, parts), np.int32)
