@@ -12,8 +12,8 @@ from pivotscore.llm import op1_jaccard, op3_induced, op3_substring, op8_sentence
 
 def grouped(rows, threshold=0.8):
     """(id, smallest id of the class, links) by comparing all pairs."""
-    sets = [set(op1_jaccard.WORDS.findall(t or "")[k:k + 5].__str__() for k in range(max(1, len(op1_jaccard.WORDS.findall(t or "")) - 4)))
-            if op1_jaccard.WORDS.findall(t or "") else set() for _, t in rows]
+    words = [op1_jaccard.WORDS.findall(t or "") for _, t in rows]
+    sets = [{" ".join(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
     up = list(range(len(rows)))
     links = [0] * len(rows)
 
