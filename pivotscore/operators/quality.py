@@ -3,11 +3,10 @@
 * ``length_profile`` -- words per sentence per domain, out-of-range counts,
   compound sentences joined by ';'.
 * ``exact_dups`` -- documents whose text occurs more than once.
-* ``near_dups`` -- MinHash LSH over word 5-shingles.  Documents that share a
-  band bucket are compared with the smallest document id in the bucket only,
-  so no pair list is ever built: a text copied a million times costs a million
-  rows, not half a trillion pairs.  Each such candidate is checked by the exact
-  Jaccard similarity of the two shingle sets.
+* ``near_dups`` -- exact Jaccard join over word 5-shingles (``similar``).  Equal
+  shingle sets are collapsed first and no pair list is ever built: a text copied
+  a million times costs a million rows, not half a trillion pairs.  The MinHash
+  buckets only give the size of a document's largest bucket.
 * ``register_markers`` -- share of sentences with contractions / first person.
 """
 
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import similar
 
 # Fixed values of the rules.
 MIN_WORDS, MAX_WORDS = 8, 25
@@ -79,20 +79,25 @@ def minhash(docs: DataFrame) -> DataFrame:
 
 
 def near_dups(docs: DataFrame) -> DataFrame:
-    """(doc_id, rep_doc_id, n_bucket_docs): documents that reach NEAR with the
-    smallest document of one of their buckets; the smallest such one is named."""
-    b = minhash(docs)
-    rep = b.groupBy("band", "bucket").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    j = b.join(rep, ["band", "bucket"])
-    g = j.groupBy("doc_id").agg(F.collect_set("rep").alias("reps"), F.max("size").alias("n_bucket_docs"))
-    pairs = (g.select("doc_id", "n_bucket_docs", F.explode("reps").alias("rep_doc_id"))
-             .filter(F.col("rep_doc_id") < F.col("doc_id")))  # at most one row per band
-    sh = shingles(docs)
-    own, other = sh, sh.select(F.col("doc_id").alias("rep_doc_id"), F.col("sh").alias("rep_sh"))
-    both = F.size(F.array_intersect("sh", "rep_sh"))
-    near = (pairs.join(own, "doc_id").join(other, "rep_doc_id")
-            .filter(both >= F.lit(NEAR) * (F.size("sh") + F.size("rep_sh") - both)))
-    return near.groupBy("doc_id").agg(F.min("rep_doc_id").alias("rep_doc_id"), F.max("n_bucket_docs").alias("n_bucket_docs"))
+    """(doc_id, rep_doc_id, n_bucket_docs): documents that reach NEAR with a
+    document of smaller id; the smallest such one is named.
+
+    ``n_bucket_docs`` is the size of the document's largest bucket; the buckets
+    do not decide what is compared.  A null text is like no other.
+    """
+    b = similar.cut(minhash(docs))
+    sizes = b.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size"))
+    held = b.join(sizes, ["band", "bucket"]).groupBy("doc_id").agg(F.max("size").alias("n_bucket_docs"))
+    sh = shingles(docs.filter("text is not null"))
+    h = sh.select("doc_id", F.array_sort(F.array_distinct(F.transform("sh", lambda s: F.xxhash64(s)))).alias("hs"))
+    rows = similar.cut(h.select("doc_id", F.md5(F.concat_ws(",", F.col("hs").cast("array<string>"))).alias("key")))
+    low = similar.cut(rows.groupBy("key").agg(F.min("doc_id").alias("low")))  # equal sets count once
+    sets = similar.cut(h.join(low.select(F.col("low").alias("doc_id")), "doc_id")
+                       .select(F.col("doc_id").cast("long").alias("id"), F.size("hs").alias("n"), "hs"))
+    best = similar.cut(similar.smallest(sets, NEAR))
+    told = low.join(best, low.low == best.id, "left").select("key", F.least("low", "best").alias("rep_doc_id"))
+    near = rows.join(told, "key").filter("rep_doc_id < doc_id")
+    return near.join(held, "doc_id").select("doc_id", "rep_doc_id", "n_bucket_docs")
 
 
 def register_markers(sentences: DataFrame) -> DataFrame:
