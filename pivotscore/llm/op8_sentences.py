@@ -9,6 +9,13 @@ joined over the whole corpus by a 128-bit hash of their words; the first
 occurrence, by id, text hash and place, stays, and every sentence of any
 other occurrence of a repeated run is removed.
 
+A repeated passage may start and end inside sentences.  So every window of
+``ENOUGH`` words, wherever it starts, is compared as well: the words of any
+but its first occurrence go, with the blanks after them.  Equal windows have
+the same anchor, the ``GRAM``-word gram of least hash inside, so only pieces
+(the windows of one anchor in one text) whose anchor occurs again are joined,
+and only anchors with different pieces are joined window by window.
+
 Defined results: a null text counts as empty (nothing to remove, text stays
 empty); a text that never reaches the run's size has no runs; sentences are
 compared by their words, so blanks may differ; rows that repeat both id and
@@ -29,9 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, cut
+from .op1_jaccard import mix
+from .op3_substring import powers
 
 WORDS = re.compile(WORD)
 SENTENCES, LEAST, ENOUGH = 3, 15, 50
+GRAM = 25
 _END = re.compile(r"\n+|(?<=[.!?])[\x20\t\x0b-\r]+")
 
 
@@ -115,29 +125,136 @@ def repeated(docs: DataFrame) -> DataFrame:
     return cut(later)
 
 
+def word_hashes(text: str) -> np.ndarray:
+    known: dict[str, int] = {}
+    found = WORDS.findall(text)
+    return np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in found), np.uint64, len(found))
+
+
+def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, end, anchor): the runs of windows, by start, with the same leftmost gram of least hash."""
+    n = len(h)
+    if n < ENOUGH:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    up, down = powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(h) * up[:n], out=total[1:])
+    grams = mix((total[GRAM:] - total[:-GRAM]) * down[:n - GRAM + 1])
+    inside = np.lib.stride_tricks.sliding_window_view(grams, ENOUGH - GRAM + 1)
+    q = np.arange(n - ENOUGH + 1) + inside.argmin(1)
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+    return first, np.r_[first[1:], len(q)], grams[q[first]]
+
+
+_PLACED = "h long, g long, doc_id long, key long, s int, e int"
+
+
+def _placed(b: pa.RecordBatch, who: list, hashes: list, starts: list, ends: list) -> list[pa.Array]:
+    both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+    take = pa.array(who, pa.int32())
+    return [pa.array(both[:, 0]), pa.array(both[:, 1]), b.column("doc_id").take(take), b.column("key").take(take),
+            pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
+
+
+def pieces(docs: DataFrame) -> DataFrame:
+    """(anchor, h, g, doc_id, key, s, e): every piece with the hash of its words; its windows start in [s, e)."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            who, hashes, starts, ends, marks = [], [], [], [], [np.zeros(0, np.uint64)]
+            for k, t in enumerate(b.column("text").to_pylist()):
+                h = word_hashes(t or "")
+                first, end, anchor = anchors(h)
+                marks.append(anchor)
+                for s, e in zip(first.tolist(), end.tolist(), strict=True):
+                    hashes.append(xxhash.xxh3_128_digest(h[s:e - 1 + ENOUGH].tobytes()))
+                    who.append(k), starts.append(s), ends.append(e)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks).view(np.int64)), *_placed(b, who, hashes, starts, ends)],
+                                             names=["anchor", "h", "g", "doc_id", "key", "s", "e"])
+
+    return docs.select(F.col("doc_id").cast("long"), _text_key().alias("key"), "text").mapInArrow(rows, "anchor long, " + _PLACED)
+
+
+def windows(texts: DataFrame) -> DataFrame:
+    """(h, g, doc_id, key, s, e): the windows that start in the ``parts`` of ``texts(doc_id, key, text, parts)``."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            who, hashes, starts = [], [], []
+            for k, (t, parts) in enumerate(zip(b.column("text").to_pylist(), b.column("parts").to_pylist(), strict=True)):
+                h = word_hashes(t or "")
+                for s in (s for x in parts for s in range(x["s"], x["e"])):
+                    hashes.append(xxhash.xxh3_128_digest(h[s:s + ENOUGH].tobytes()))
+                    who.append(k), starts.append(s)
+            yield pa.RecordBatch.from_arrays(_placed(b, who, hashes, starts, [s + 1 for s in starts]), names=["h", "g", "doc_id", "key", "s", "e"])
+
+    return texts.mapInArrow(rows, _PLACED)
+
+
+def repeated_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, words): for each text with any, the starts [s, e) of its windows that are not the first of their kind."""
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "s")
+    often = cut(pieces(docs).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
+    some = cut(pieces(docs).join(often, "anchor"))
+    kinds = cut(some.groupBy("anchor", "h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min(F.expr("e - s")).alias("size")))
+    again = kinds.filter(~F.col("first").eqNullSafe(F.col("last"))).select("h", "g", "first")
+    whole = some.join(again, ["h", "g"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "key", "s", "e")
+    # Different pieces of one anchor may share windows; the first place of each piece stands for all of its places.
+    mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    ask = (kinds.join(mixed, "anchor").select("first.doc_id", "first.key", "first.s", (F.col("first.s") + F.col("size")).alias("e"))
+           .groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "e")).alias("parts")))  # bounded by one text's pieces
+    ask = ask.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "parts")
+    keyed = docs.select(F.col("doc_id").cast("long"), _text_key().alias("key"), "text")
+    texts = keyed.join(ask, keyed.doc_id.eqNullSafe(ask.d) & (keyed.key == ask.k)).select("doc_id", "key", "text", "parts")
+    single = cut(windows(texts))
+    first = (single.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+             .filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last"))
+    later = single.join(first, ["h", "g"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "key", "s", "e")
+    return cut(whole.unionByName(later).groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "e")).alias("words")))  # bounded likewise
+
+
+def left(text: str, runs_: list, starts: list) -> tuple[int, list[int], str]:
+    """Number of sentences, numbers of those that go whole, and the text that stays."""
+    parts = sentences(text)
+    out = np.zeros(len(parts), bool)
+    for x in runs_:
+        out[x["s"]:x["e"]] = True
+    if not starts:
+        return len(parts), np.flatnonzero(out).tolist(), "".join(p for p, o in zip(parts, out, strict=True) if not o)
+    spans_ = [[m.span() for m in WORDS.finditer(p)] for p in parts]
+    edge = np.zeros(sum(map(len, spans_)) + 1, np.int64)
+    for x in starts:
+        edge[x["s"]] += 1
+        edge[x["e"] - 1 + ENOUGH] -= 1
+    gone, at, kept = np.cumsum(edge)[:-1] > 0, 0, []
+    for k, (p, ws) in enumerate(zip(parts, spans_, strict=True)):
+        mine = gone[at:at + len(ws)]
+        at += len(ws)
+        out[k] |= len(ws) > 0 and mine.all()
+        if not out[k]:  # a word goes with the blanks after it
+            ends = [s for s, _ in ws[1:]] + [len(p)]
+            kept += [p[:ws[0][0]] if ws else p, *(p[s:e] for (s, _), e, g in zip(ws, ends, mine.tolist(), strict=True) if not g)]
+    return len(parts), np.flatnonzero(out).tolist(), "".join(kept)
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, n_removed, removed, text, kept_sha256): the texts without repeated spans.
 
-    ``removed`` lists the removed sentences' numbers, from 0.
+    ``removed`` lists the numbers, from 0, of the sentences removed whole;
+    of a sentence cut by the end of a passage only the other words stay.
     """
-    cover = repeated(docs)
+    keyed = docs.select(F.col("doc_id").cast("long"), _text_key().alias("key"), "text")
+    runs_, words = repeated(docs), repeated_words(docs)
+    cover = (runs_.withColumn("words", F.lit(None).cast(words.schema["words"].dataType))
+             .unionByName(words.withColumn("cover", F.lit(None).cast(runs_.schema["cover"].dataType)))
+             .groupBy("doc_id", "key").agg(F.first("cover", True).alias("cover"), F.first("words", True).alias("words")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, gone, kept, sha = [], [], [], []
-            for t, c in zip(b.column("text").to_pylist(), b.column("cover").to_pylist(), strict=True):
-                parts = sentences(t or "")
-                out = np.zeros(len(parts), bool)
-                for x in c or ():
-                    out[x["s"]:x["e"]] = True
-                rest = "".join(p for p, o in zip(parts, out, strict=True) if not o)
-                n.append(len(parts)), gone.append(np.flatnonzero(out).tolist()), kept.append(rest)
-                sha.append(hashlib.sha256(rest.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(map(len, gone), pa.int64()),
-                                              pa.array(gone, pa.list_(pa.int32())), pa.array(kept, pa.string()), pa.array(sha, pa.string())],
+            got = [left(t or "", c or [], w or []) for t, c, w in zip(*(b.column(x).to_pylist() for x in ("text", "cover", "words")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for n, _, _ in got], pa.int64()), pa.array([len(g) for _, g, _ in got], pa.int64()),
+                                              pa.array([g for _, g, _ in got], pa.list_(pa.int32())), pa.array([k for _, _, k in got], pa.string()),
+                                              pa.array([hashlib.sha256(k.encode()).hexdigest() for _, _, k in got], pa.string())],
                                              names=["doc_id", "n_sentences", "n_removed", "removed", "text", "kept_sha256"])
 
-    keyed = docs.select(F.col("doc_id").cast("long"), _text_key().alias("key"), "text")
-    hit = cover.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "cover")
-    return (keyed.join(hit, keyed.doc_id.eqNullSafe(hit.d) & (keyed.key == hit.k), "left").select("doc_id", "text", "cover")
+    hit = cover.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "cover", "words")
+    return (keyed.join(hit, keyed.doc_id.eqNullSafe(hit.d) & (keyed.key == hit.k), "left").select("doc_id", "text", "cover", "words")
             .mapInArrow(rows, "doc_id long, n_sentences long, n_removed long, removed array<int>, text string, kept_sha256 string"))
