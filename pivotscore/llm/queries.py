@@ -9,7 +9,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_jaccard, op2_quality, op3_substring, op4_tokens, op5_pii, op6_mix, op7_html, op8_sentences, op9_bpe, op10_ann
+from . import (
+    op1_jaccard,
+    op2_quality,
+    op3_substring,
+    op4_tokens,
+    op5_pii,
+    op6_mix,
+    op7_html,
+    op8_sentences,
+    op9_bpe,
+    op10_ann,
+    op11_toxicity,
+    op12_whitening,
+    op13_runs,
+)
 from .common import table
 
 
@@ -58,6 +72,20 @@ def op10_ann_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_ann.search(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+def op11_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = op11_toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return op11_toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted", "n_passages")
+
+
+def op12_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_runs.detect(table(spark, sf_dir, "documents")).drop("runs")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -66,6 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_ngram_jaccard, op2_quality_rules, op3_suffix_dedup, op4_token_counts, op5_pii_spans, op6_source_mix,
-        op7_html_text, op8_sentence_spans, op9_byte_bpe, op10_ann_partitions, pipeline)
+        op7_html_text, op8_sentence_spans, op9_byte_bpe, op10_ann_partitions, op11_toxic_segments, op12_block_whitening,
+        op13_word_runs, pipeline)
 }
 ORACLES: dict[str, str] = {"op6_source_mix": op6_mix.oracle()}
