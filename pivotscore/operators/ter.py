@@ -1,12 +1,20 @@
 """Edit-rate metrics as Arrow UDFs.
 
 * ``word_edits`` -- word-level Levenshtein distance (TER without shifts),
-  lower-cased whitespace tokens.  Each DP row is vectorised: deletions and
-  substitutions from the previous row, insertions by a running minimum
-  (new[j] = j + min_{l<=j}(base[l] - l)), so a row costs O(m) numpy work.
-* ``ter_edits`` -- TER: the same distance after greedy block shifts (phrases
-  of at most 10 words moved at most 50 positions, as the published
-  algorithm bounds them), repeated while a shift lowers the distance.
+  lower-cased whitespace tokens, bit-parallel: a column of the distance table
+  is two Python integers of one bit a word, so a pair costs one handful of
+  wide operations per word.
+* ``ter_edits`` -- translation edit rate (Snover et al., 2006) with the limits
+  of its common implementation, below: a block of the candidate that also
+  stands in the reference is moved to where the alignment puts it, as long as
+  a move lowers the distance; every move and every remaining edit costs one.
+
+The shift search keeps, for the current word order, the distance table's
+rows from the front and from the back.  A move changes the words between two
+places only, so its distance is the front row before them, the changed words'
+rows, and the back row after them; all moves of a round are evaluated side by
+side.  Blocks come from an index of equal spans within ``MAX_DIST`` words,
+thinned to those whose words the current alignment gets wrong.
 
 Corpus scores are 100 * Σ edits / Σ reference words per group, computed from
 per-pair partials with a map-side aggregate.
@@ -16,12 +24,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-MAX_SHIFT_SIZE = 10
-MAX_SHIFT_DIST = 50
+# Fixed values of the metric: words of a block, words it moves, half the width of the
+# distance table's band, moves looked at in a pair (a pair that reaches it is moved no more).
+MAX_SIZE = 10
+MAX_DIST = 50
+BEAM = 25
+MAX_MOVES = 1000
+# End of fixed values.
+
+_FAR = 1 << 30
 
 
 def _ids(hyp: list[str], ref: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -32,81 +47,206 @@ def _ids(hyp: list[str], ref: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def edit_distance(h: np.ndarray, r: np.ndarray) -> int:
-    """Levenshtein distance of two id sequences (hyp -> ref)."""
+    """Levenshtein distance of two id sequences, a bit for each reference word (Myers, 1999)."""
     m = len(r)
-    if len(h) == 0:
-        return m
-    if m == 0:
+    if not m:
         return len(h)
-    ar = np.arange(m + 1)
-    prev = ar.copy()
-    for i, w in enumerate(h, start=1):
-        base = np.empty(m + 1, dtype=np.int64)
-        base[0] = i
-        base[1:] = np.minimum(prev[1:] + 1, prev[:-1] + (r != w))
-        prev = ar + np.minimum.accumulate(base - ar)
-    return int(prev[-1])
+    where: dict[int, int] = {}
+    for k, w in enumerate(r.tolist()):
+        where[w] = where.get(w, 0) | (1 << k)
+    mask, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = mask, 0, m  # vertical steps of +1 and -1
+    for w in h.tolist():
+        eq = where.get(w, 0)
+        zero = (((eq & up) + up) ^ up) | eq | down
+        plus, minus = down | (mask & ~(zero | up)), up & zero
+        score += bool(plus & top) - bool(minus & top)
+        plus = (plus << 1) | 1
+        up, down = ((minus << 1) | (mask & ~(zero | plus))) & mask, plus & zero & mask
+    return score
+
+
+class Band:
+    """The banded distance table of one candidate order against the reference."""
+
+    def __init__(self, n: int, ref: np.ndarray):
+        self.n, self.ref, self.m = n, ref, len(ref)
+        ratio = self.m / n
+        beam = int(np.ceil(ratio / 2 + BEAM)) if ratio / 2 > BEAM else BEAM
+        middle = np.floor(np.arange(n + 1) * ratio).astype(np.int64)
+        self.low, high = np.maximum(middle - beam, 0), np.minimum(middle + beam, self.m + 1)
+        self.low[0], high[n] = 0, self.m + 1
+        high[0] = min(self.m + 1, max(high[0], high[1]))
+        self.width = int((high - self.low).max())
+        cols = self.low[:, None] + np.arange(self.width)
+        self.cols, self.out = np.minimum(cols, self.m), cols >= high[:, None]
+
+    def step(self, before: np.ndarray, rows: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Rows ``rows`` of several tables from the rows above them, given each one's word."""
+        cols = self.cols[rows]
+        at = self.low[rows, None] + np.arange(self.width) - self.low[rows - 1, None]  # same column, one row up
+        padded = np.pad(before, ((0, 0), (1, 1)), constant_values=_FAR)
+        above = np.take_along_axis(padded, np.minimum(at + 1, self.width + 1), 1)
+        left = np.take_along_axis(padded, np.minimum(at, self.width + 1), 1)
+        base = np.minimum(above + 1, np.where(cols > 0, left + (self.ref[np.maximum(cols - 1, 0)] != words[:, None]), _FAR))
+        base[self.out[rows]] = _FAR
+        k = np.arange(self.width)
+        new = np.minimum.accumulate(base - k, axis=1) + k
+        new[self.out[rows]] = _FAR
+        return np.minimum(new, _FAR)
+
+    def front(self, words: np.ndarray) -> np.ndarray:
+        """Distances of every prefix of the words to the prefixes of the reference in the band."""
+        out = np.empty((self.n + 1, self.width), np.int64)
+        out[0] = np.where(self.out[0], _FAR, np.arange(self.width))
+        for i in range(1, self.n + 1):
+            out[i] = self.step(out[i - 1:i], np.array([i]), words[i - 1:i])[0]
+        return out
+
+    def back(self, words: np.ndarray) -> np.ndarray:
+        """Distances of every suffix of the words to the suffixes of the reference in the band."""
+        out = np.full((self.n + 1, self.width), _FAR, np.int64)
+        k = np.arange(self.width)
+        last = self.m - self.low[self.n] - k
+        out[self.n] = np.where(last >= 0, last, _FAR)
+        for i in range(self.n - 1, -1, -1):
+            below = np.pad(out[i + 1], (1, 1), constant_values=_FAR)
+            at = self.low[i] + k - self.low[i + 1] + 1
+            same = below[np.clip(at, 0, self.width + 1)]
+            right = below[np.clip(at + 1, 0, self.width + 1)]
+            cols = self.low[i] + k
+            differ = self.ref[np.minimum(cols, self.m - 1)] != words[i]
+            base = np.minimum(same + 1, np.where(cols < self.m, right + differ, _FAR))
+            base[self.out[i]] = _FAR
+            out[i] = np.minimum(np.minimum.accumulate((base + k)[::-1])[::-1] - k, _FAR)
+            out[i][self.out[i]] = _FAR
+        return out
+
+    def alignment(self, front: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Last candidate word at or before each reference word, and the words of either side that are wrong.
+
+        Of equally short ways a substitution or match comes before a dropped
+        candidate word, and that before an added reference word.
+        """
+        at, ref_wrong, hyp_wrong = np.empty(self.m, np.int64), np.ones(self.m, bool), np.ones(self.n, bool)
+        i, j = self.n, self.m
+
+        def value(a, b):
+            k = b - self.low[a]
+            return front[a, k] if 0 <= k < self.width else _FAR
 
+        while i or j:
+            here = value(i, j)
+            if i and j and value(i - 1, j - 1) + (self.ref[j - 1] != words[i - 1]) == here:
+                i, j = i - 1, j - 1
+                at[j] = i
+                hyp_wrong[i] = ref_wrong[j] = self.ref[j] != words[i]
+            elif i and value(i - 1, j) + 1 == here:
+                i -= 1
+            else:
+                j -= 1
+                at[j] = i - 1
+        return at, ref_wrong, hyp_wrong
 
-def _shift(words: list[int], start: int, length: int, dest: int) -> list[int]:
-    block = words[start:start + length]
-    rest = words[:start] + words[start + length:]
-    return rest[:dest] + block + rest[dest:]
+
+def spans(words: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, place in the reference, length) of equal spans, by start, place and length."""
+    n, m = len(words), len(ref)
+    reach = np.arange(-MAX_DIST, MAX_DIST + 1)
+    place = np.arange(n)[:, None] + reach
+    equal = (place >= 0) & (place < m) & (ref[np.clip(place, 0, m - 1)] == words[:, None])
+    length, more = equal.astype(np.int64), equal
+    for k in range(1, min(MAX_SIZE, n)):
+        more = more[:-1] & equal[k:]
+        length[:n - k] += more
+    h, o = np.nonzero(equal)
+    size = length[h, o]
+    start, to = np.repeat(h, size), np.repeat(h + reach[o], size)
+    return start, to, np.arange(len(start)) - np.repeat(np.cumsum(size) - size, size) + 1
+
+
+def moves(words: np.ndarray, ref: np.ndarray, aligned: tuple, limit: int) -> tuple[list[tuple[int, int, int]], bool]:
+    """The moves (start, length, target) worth a look, in order, and whether ``limit`` of them are reached."""
+    at, ref_wrong, hyp_wrong = aligned
+    start, to, length = spans(words, ref)
+    wrong_h, wrong_r = np.r_[0, np.cumsum(hyp_wrong)], np.r_[0, np.cumsum(ref_wrong)]
+    some = (wrong_h[start + length] > wrong_h[start]) & (wrong_r[to + length] > wrong_r[to])
+    some &= (at[to] < start) | (at[to] >= start + length)
+    out: list[tuple[int, int, int]] = []
+    for s, t, n in zip(start[some].tolist(), to[some].tolist(), length[some].tolist(), strict=True):
+        before = None
+        for k in range(t - 1, t + n):
+            target = 0 if k < 0 else int(at[k]) + 1
+            if target != before:
+                out.append((s, n, target))
+                before = target
+        if len(out) >= limit:
+            return out, True
+    return out, False
+
+
+def moved(words: np.ndarray, start: int, length: int, target: int) -> np.ndarray:
+    """The words with a block put before the word at ``target`` (inside the block: as much further on)."""
+    rest = np.delete(words, slice(start, start + length))
+    if target > start + length:
+        to = target - length
+    else:  # before the block, or by as many words as the target lies behind its start
+        to = min(target, len(rest))
+    return np.insert(rest, to, words[start:start + length])
 
 
 def ter_edits_ids(h: np.ndarray, r: np.ndarray) -> int:
-    """Greedy TER: take the block shift that lowers the distance most, repeat.
-
-    A shift costs one edit, so it is taken only if the distance falls by two
-    or more.  A moved block starts at the position its phrase has in the
-    reference.
-    """
-    cur = list(h)
-    ref = list(r)
-    left = edit_distance(np.array(cur), r)
-    shifts = 0
-    while left > 1:
-        gain, cand = 1, None
-        checked = set()
-        ref_pos: dict[tuple, list[int]] = {}
-        for j in range(len(ref)):
-            for L in range(1, MAX_SHIFT_SIZE + 1):
-                if j + L > len(ref):
-                    break
-                ref_pos.setdefault(tuple(ref[j:j + L]), []).append(j)
-        for i in range(len(cur)):
-            for L in range(1, MAX_SHIFT_SIZE + 1):
-                if i + L > len(cur):
-                    break
-                span = tuple(cur[i:i + L])
-                for j in ref_pos.get(span, []):
-                    if j == i or abs(j - i) > MAX_SHIFT_DIST:
-                        continue
-                    moved = _shift(cur, i, L, min(j, len(cur) - L))
-                    if tuple(moved) in checked:
-                        continue
-                    checked.add(tuple(moved))
-                    d = left - edit_distance(np.array(moved), r)
-                    if d > gain:
-                        gain, cand = d, moved
-        if cand is None:
-            break
-        cur = cand
-        left -= gain
+    """Moves plus remaining edits."""
+    if not len(r) or not len(h):
+        return len(h) + len(r)
+    band = Band(len(h), r)
+    words, looked, shifts = h, 0, 0
+    while True:
+        front = band.front(words)
+        left = int(front[-1, band.m - band.low[-1]])
+        if not left:
+            return shifts
+        found, full = moves(words, r, band.alignment(front, words), MAX_MOVES - looked)
+        looked += len(found)
+        if full or not found:
+            return shifts + left
+        order = [moved(words, *x) for x in found]
+        distance = distances(band, front, band.back(words), words, order)
+        # The greatest gain; then the longest block, the earliest start and the earliest target.
+        best = min(range(len(found)), key=lambda k: (distance[k], -found[k][1], found[k][0], found[k][2]))
+        if distance[best] >= left:
+            return shifts + left
+        words = order[best]
         shifts += 1
-    return shifts + left
 
 
-def word_edits(hyp: str, ref: str) -> tuple[int, int]:
-    hw, rw = (hyp or "").lower().split(), (ref or "").lower().split()
-    h, r = _ids(hw, rw)
-    return edit_distance(h, r), len(rw)
+def distances(band: Band, front: np.ndarray, back: np.ndarray, words: np.ndarray, orders: list[np.ndarray]) -> np.ndarray:
+    """Distances of several orders of the same words, from the rows on either side of what changed."""
+    all_ = np.stack(orders)
+    changed = all_ != words
+    some = changed.any(1)
+    first = np.where(some, changed.argmax(1), 0)
+    last = np.where(some, band.n - changed[:, ::-1].argmax(1), 0)
+    rows = front[first]
+    for k in range(int((last - first).max(initial=0))):
+        live = np.flatnonzero(first + k < last)
+        i = first[live] + k
+        rows[live] = band.step(rows[live], i + 1, all_[live, i])
+    return np.minimum(rows + back[last], _FAR).min(1)
+
 
+def _words(hyp: str | None, ref: str | None) -> tuple[list[str], list[str]]:
+    return (hyp or "").lower().split(), (ref or "").lower().split()
 
-def ter_edits(hyp: str, ref: str) -> tuple[int, int]:
-    hw, rw = (hyp or "").lower().split(), (ref or "").lower().split()
-    h, r = _ids(hw, rw)
-    return ter_edits_ids(h, r), len(rw)
+
+def word_edits(hyp: str | None, ref: str | None) -> tuple[int, int]:
+    hw, rw = _words(hyp, ref)
+    return edit_distance(*_ids(hw, rw)), len(rw)
+
+
+def ter_edits(hyp: str | None, ref: str | None) -> tuple[int, int]:
+    hw, rw = _words(hyp, ref)
+    return (0 if hw == rw else ter_edits_ids(*_ids(hw, rw))), len(rw)
 
 
 _SCHEMA = StructType([StructField("edits", LongType()), StructField("ref_words", LongType())])
@@ -124,13 +264,16 @@ def ter_edits_udf(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["edits", "ref_words"])
 
 
+def rate(edits: Column, ref_words: Column) -> Column:
+    """100 * edits / reference words; without reference words 100 if there are edits, else 0."""
+    return F.when(ref_words > 0, 100.0 * edits / ref_words).when(edits > 0, F.lit(100.0)).otherwise(F.lit(0.0))
+
+
 def _corpus(pairs: DataFrame, ref_col: str, hyp_col: str, keys: list[str], udf, name: str) -> DataFrame:
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = pairs.repartition(n).withColumn("_e", udf(F.col(hyp_col), F.col(ref_col)))
     g = e.groupBy(*keys).agg(F.sum("_e.edits").alias("edits"), F.sum("_e.ref_words").alias("ref_words"))
-    score = (F.when(F.col("ref_words") > 0, 100.0 * F.col("edits") / F.col("ref_words"))
-             .when(F.col("edits") > 0, F.lit(100.0)).otherwise(F.lit(0.0)))
-    return g.select(*keys, F.round(score, 4).alias(name))
+    return g.select(*keys, F.round(rate(F.col("edits"), F.col("ref_words")), 4).alias(name))
 
 
 def corpus_ter(pairs: DataFrame, ref_col: str, hyp_col: str, keys: list[str]) -> DataFrame:

@@ -495,6 +495,12 @@ def q_word_edit_rate(spark, sf):
     return TER.corpus_word_edit_rate(tables.conversation_pairs(spark, sf), "original", "candidate", ["role"])
 
 
+@register("corpus_ter")
+def q_corpus_ter(spark, sf):
+    """E2 over whole conversation turns, each with the next one of its conversation."""
+    return TER.corpus_ter(tables.conversation_pairs(spark, sf), "original", "candidate", ["role"])
+
+
 @register("anova_p")
 def q_anova_p(spark, sf):
     c = _cells_once(spark, sf)
