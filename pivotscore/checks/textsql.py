@@ -407,32 +407,22 @@ def exact_dups_sql() -> str:
             "GROUP BY md5(text) HAVING count(*) > 1")
 
 
-def near_dups_sql(shingle: int, bands: int, rows: int, near: float) -> str:
+def near_dups_sql(shingle: int, num: int, den: int) -> str:
+    """All pairs of distinct shingle sets that share a shingle; no buckets."""
     w = words_sql("lower(text)")
     sh = (f"CASE WHEN len(w) >= {shingle} THEN list_transform(range(1, len(w) - {shingle} + 2), "
           f"lambda i: array_to_string(w[i:i + {shingle - 1}], ' ')) ELSE [array_to_string(w, ' ')] END")
-    k = bands * rows
-    hs = ", ".join(f"list_min(list_transform(sh, lambda s: substr(md5('{1 + i // 4}|' || s), {8 * (i % 4) + 1}, 8))) AS h{i + 1}"
-                   for i in range(k))
-    bsel = " UNION ALL ".join(
-        f"SELECT doc_id, {b} AS band, md5(concat_ws('|', {', '.join(f'h{b * rows + r + 1}' for r in range(rows))})) AS bucket FROM mh"
-        for b in range(bands))
-    return with_ctes([f"dw AS (SELECT doc_id, {w} AS w FROM documents)",
-                      f"ds AS MATERIALIZED (SELECT doc_id, {sh} AS sh FROM dw)",
-                      f"mh AS MATERIALIZED (SELECT doc_id, {hs} FROM ds)",
-                      f"b AS ({bsel})",
-                      "rep AS (SELECT band, bucket, min(doc_id) AS rep, count(*) AS size FROM b GROUP BY band, bucket)",
-                      "g AS (SELECT b.doc_id, list(DISTINCT rep) AS reps, max(size) AS n_bucket_docs FROM b "
-                      "JOIN rep USING (band, bucket) GROUP BY b.doc_id)",
-                      "p AS (SELECT doc_id, n_bucket_docs, unnest(reps) AS rep_doc_id FROM g)",
-                      "u AS (SELECT DISTINCT doc_id, unnest(sh) AS s FROM ds)",
-                      "n AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id)",
-                      "c AS (SELECT p.doc_id, p.rep_doc_id, any_value(p.n_bucket_docs) AS n_bucket_docs, count(*) AS both FROM p "
-                      "JOIN u x ON x.doc_id = p.doc_id JOIN u y ON y.doc_id = p.rep_doc_id AND y.s = x.s "
-                      "WHERE p.rep_doc_id < p.doc_id GROUP BY ALL)"],
-                     f"SELECT c.doc_id, min(c.rep_doc_id) AS rep_doc_id, max(n_bucket_docs) AS n_bucket_docs FROM c "
-                     f"JOIN n a ON a.doc_id = c.doc_id JOIN n b ON b.doc_id = c.rep_doc_id "
-                     f"WHERE c.both >= {near} * (a.n + b.n - c.both) GROUP BY c.doc_id")
+    return with_ctes([f"dw AS (SELECT doc_id, {w} AS w FROM documents WHERE text IS NOT NULL)",
+                      f"ds AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct({sh})) AS sh FROM dw)",
+                      "k AS MATERIALIZED (SELECT doc_id, md5(array_to_string(sh, chr(10))) AS key FROM ds)",
+                      "low AS MATERIALIZED (SELECT key, min(doc_id) AS low FROM k GROUP BY key)",
+                      "s AS MATERIALIZED (SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM ds WHERE doc_id IN (SELECT low FROM low))",
+                      "p AS (SELECT x.doc_id, y.doc_id AS other, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS shared "
+                      "FROM s x JOIN s y ON x.h = y.h AND y.doc_id < x.doc_id GROUP BY ALL)",
+                      f"b AS (SELECT doc_id, min(other) AS best FROM p WHERE {den} * shared >= {num} * (n + m - shared) GROUP BY doc_id)",
+                      "t AS (SELECT k.doc_id, least(low, coalesce(best, low)) AS rep_doc_id FROM k JOIN low USING (key) "
+                      "LEFT JOIN b ON b.doc_id = low.low)"],
+                     "SELECT doc_id, rep_doc_id FROM t WHERE rep_doc_id < doc_id")
 
 
 def register_markers_sql(contraction: str, first_person: str) -> str:

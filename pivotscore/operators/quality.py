@@ -5,8 +5,7 @@
 * ``exact_dups`` -- documents whose text occurs more than once.
 * ``near_dups`` -- exact Jaccard join over word 5-shingles (``similar``).  Equal
   shingle sets are collapsed first and no pair list is ever built: a text copied
-  a million times costs a million rows, not half a trillion pairs.  The MinHash
-  buckets only give the size of a document's largest bucket.
+  a million times costs a million rows, not half a trillion pairs.
 * ``register_markers`` -- share of sentences with contractions / first person.
 """
 
@@ -22,7 +21,6 @@ from . import similar
 MIN_WORDS, MAX_WORDS = 8, 25
 SWEET_MIN, SWEET_MAX = 12, 18
 SHINGLE = 5
-BANDS, ROWS = 4, 2
 NEAR = 0.8
 CONTRACTION = r"[a-z]'(s|t|re|ve|ll|d|m)([^a-z]|$)"
 FIRST_PERSON = r"(^|[^a-z])(i|me|my|we|our|us)([^a-z]|$)"
@@ -56,48 +54,21 @@ def shingles(docs: DataFrame) -> DataFrame:
         F.array(F.array_join("w", " ")))).alias("sh"))
 
 
-def minhash(docs: DataFrame) -> DataFrame:
-    """(doc_id, band, bucket): BANDS band hashes of ROWS min-hashes each.
-
-    A shingle's md5 is cut into four slices of eight digits, so that two md5
-    values give the eight hash functions.
-    """
-    d = shingles(docs)
-
-    def digest(half):
-        return lambda s: F.md5(F.concat(F.lit(f"{half}|"), s))
-
-    def part(i):
-        return lambda x: F.substring(x, 8 * (i % 4) + 1, 8)
-
-    d = d.withColumn("d1", F.transform("sh", digest(1))).withColumn("d2", F.transform("sh", digest(2)))
-    mh = [F.array_min(F.transform(f"d{1 + i // 4}", part(i))).alias(f"h{i + 1}") for i in range(BANDS * ROWS)]
-    d = d.select("doc_id", *mh)
-    bands = [F.struct(F.lit(b).alias("band"), F.md5(F.concat_ws(
-        "|", *[F.col(f"h{b * ROWS + r + 1}") for r in range(ROWS)])).alias("bucket")) for b in range(BANDS)]
-    return d.select("doc_id", F.explode(F.array(*bands)).alias("b")).select("doc_id", "b.band", "b.bucket")
-
-
 def near_dups(docs: DataFrame) -> DataFrame:
-    """(doc_id, rep_doc_id, n_bucket_docs): documents that reach NEAR with a
-    document of smaller id; the smallest such one is named.
-
-    ``n_bucket_docs`` is the size of the document's largest bucket; the buckets
-    do not decide what is compared.  A null text is like no other.
+    """(doc_id, rep_doc_id): documents that reach NEAR with a document of
+    smaller id; the smallest such one is named.  A null text is like no other.
     """
-    b = similar.cut(minhash(docs))
-    sizes = b.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size"))
-    held = b.join(sizes, ["band", "bucket"]).groupBy("doc_id").agg(F.max("size").alias("n_bucket_docs"))
-    sh = shingles(docs.filter("text is not null"))
-    h = sh.select("doc_id", F.array_sort(F.array_distinct(F.transform("sh", lambda s: F.xxhash64(s)))).alias("hs"))
-    rows = similar.cut(h.select("doc_id", F.md5(F.concat_ws(",", F.col("hs").cast("array<string>"))).alias("key")))
+    sh = shingles(similar.spread(docs.select("doc_id", "text").filter("text is not null")))
+    hashes = F.array_sort(F.array_distinct(F.transform("sh", lambda s: F.xxhash64(s))))
+    h = sh.select("doc_id", hashes.alias("hs")).withColumn("key", F.md5(F.concat_ws(",", F.col("hs").cast("array<string>"))))
+    h = similar.cut(h)  # texts are split and hashed once
+    rows = h.select("doc_id", "key")
     low = similar.cut(rows.groupBy("key").agg(F.min("doc_id").alias("low")))  # equal sets count once
     sets = similar.cut(h.join(low.select(F.col("low").alias("doc_id")), "doc_id")
                        .select(F.col("doc_id").cast("long").alias("id"), F.size("hs").alias("n"), "hs"))
     best = similar.cut(similar.smallest(sets, NEAR))
     told = low.join(best, low.low == best.id, "left").select("key", F.least("low", "best").alias("rep_doc_id"))
-    near = rows.join(told, "key").filter("rep_doc_id < doc_id")
-    return near.join(held, "doc_id").select("doc_id", "rep_doc_id", "n_bucket_docs")
+    return rows.join(told, "key").filter("rep_doc_id < doc_id").select("doc_id", "rep_doc_id")
 
 
 def register_markers(sentences: DataFrame) -> DataFrame:

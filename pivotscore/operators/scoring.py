@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ter import rate
 
 ORDERS = range(1, T.MAX_ORDER + 1)
 PROFILE_SUFFIXES = [f"b{n}" for n in ORDERS] + ["len", "lb", "lnorm", "cb", "cnorm"]
@@ -123,9 +124,10 @@ def bleu_from_sums(prefix: str = "") -> Column:
 
 
 def aggregate_scores(pairs: DataFrame, keys: list[str], lexical: bool = True,
-                     encoder: bool = True, rounded: bool = True) -> DataFrame:
+                     encoder: bool = True, rounded: bool = True, edits: bool = False) -> DataFrame:
     """groupBy(keys) -> bleu (4 dp), cosine (6 dp), embedding (6 dp), n_pairs.
 
+    ``edits`` adds ter (4 dp) from the pairs' ``edits`` and ``ref_words``.
     ``rounded=False`` keeps the values as they are, for reports that average
     them before they round.
     """
@@ -137,12 +139,16 @@ def aggregate_scores(pairs: DataFrame, keys: list[str], lexical: bool = True,
         aggs.append(F.avg("pair_cosine").alias("cosine"))
     if encoder:
         aggs.append(F.avg("pair_embedding").alias("embedding"))
+    if edits:
+        aggs += [F.sum("edits").alias("edits"), F.sum("ref_words").alias("ref_words")]
     g = pairs.groupBy(*keys).agg(*aggs)
     out = [*keys, edge(bleu_from_sums(), 4).alias("bleu")]
     if lexical:
         out.append(edge(F.col("cosine"), 6).alias("cosine"))
     if encoder:
         out.append(edge(F.col("embedding"), 6).alias("embedding"))
+    if edits:
+        out.append(edge(rate(F.col("edits"), F.col("ref_words")), 4).alias("ter"))
     out.append("n_pairs")
     return g.select(*out)
 

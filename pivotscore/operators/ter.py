@@ -95,32 +95,39 @@ class Band:
         new[self.out[rows]] = _FAR
         return np.minimum(new, _FAR)
 
+    def _rows(self, out: np.ndarray, order: range, one: int, change: np.ndarray) -> np.ndarray:
+        """Fill ``out`` row by row: each from the one before in ``order``, whose cells one column off cost ``change``."""
+        width, far, k = self.width, np.int64(_FAR), np.arange(self.width)
+        buffer = np.full(5 * width + 4, far)
+        middle = 2 * width + 2
+        sign = -one  # the step along a row: to the right in front, to the left behind
+        for i, before in zip(order[1:], order, strict=False):
+            buffer[middle:middle + width] = out[before]
+            at = middle + int(self.low[i] - self.low[before])
+            base = np.minimum(buffer[at:at + width] + 1, buffer[at + one:at + one + width] + change[i])
+            base[self.out[i]] = far
+            if sign > 0:
+                row = np.minimum.accumulate(base - k) + k
+            else:
+                row = np.minimum.accumulate((base + k)[::-1])[::-1] - k
+            row[self.out[i]] = far
+            np.minimum(row, far, out=out[i])
+        return out
+
     def front(self, words: np.ndarray) -> np.ndarray:
         """Distances of every prefix of the words to the prefixes of the reference in the band."""
         out = np.empty((self.n + 1, self.width), np.int64)
         out[0] = np.where(self.out[0], _FAR, np.arange(self.width))
-        for i in range(1, self.n + 1):
-            out[i] = self.step(out[i - 1:i], np.array([i]), words[i - 1:i])[0]
-        return out
+        change = np.where(self.cols > 0, self.ref[np.maximum(self.cols - 1, 0)] != np.r_[-1, words][:, None], _FAR)
+        return self._rows(out, range(self.n + 1), -1, change)
 
     def back(self, words: np.ndarray) -> np.ndarray:
         """Distances of every suffix of the words to the suffixes of the reference in the band."""
-        out = np.full((self.n + 1, self.width), _FAR, np.int64)
-        k = np.arange(self.width)
-        last = self.m - self.low[self.n] - k
+        out = np.empty((self.n + 1, self.width), np.int64)
+        last = self.m - self.low[self.n] - np.arange(self.width)
         out[self.n] = np.where(last >= 0, last, _FAR)
-        for i in range(self.n - 1, -1, -1):
-            below = np.pad(out[i + 1], (1, 1), constant_values=_FAR)
-            at = self.low[i] + k - self.low[i + 1] + 1
-            same = below[np.clip(at, 0, self.width + 1)]
-            right = below[np.clip(at + 1, 0, self.width + 1)]
-            cols = self.low[i] + k
-            differ = self.ref[np.minimum(cols, self.m - 1)] != words[i]
-            base = np.minimum(same + 1, np.where(cols < self.m, right + differ, _FAR))
-            base[self.out[i]] = _FAR
-            out[i] = np.minimum(np.minimum.accumulate((base + k)[::-1])[::-1] - k, _FAR)
-            out[i][self.out[i]] = _FAR
-        return out
+        change = np.where(self.cols < self.m, self.ref[np.minimum(self.cols, self.m - 1)] != np.r_[words, -1][:, None], _FAR)
+        return self._rows(out, range(self.n, -1, -1), 1, change)
 
     def alignment(self, front: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Last candidate word at or before each reference word, and the words of either side that are wrong.

@@ -10,8 +10,9 @@ state after every step is written to the shared folder (``materialize``),
 which keeps lineage one step deep however many hops a chain has.
 
 Scores: corpus BLEU, lexical cosine, stand-in embedding cosine (JVM-side,
-see ``operators.scoring``); TER runs as an Arrow UDF (``operators.ter``) and
-is added only when asked for.
+see ``operators.scoring``) and, with ``with_ter``, the translation edit rate:
+its per-pair edits come from an Arrow UDF (``operators.ter``) in the same
+pass over the distinct pairs that makes the other metrics' partials.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..dims import PIVOT_LANG
 from ..operators import scoring as S
+from ..operators.ter import ter_edits_udf
 from ..sources.cache_store import CacheStore
 from .translate import materialize, resolve
 
@@ -81,10 +83,17 @@ def back_translate(sentences: DataFrame, langs: DataFrame, backends: list[str],
     return _step(back_req, cache, backends, "back", "bt-back", [PIVOT_LANG])
 
 
-def profiled_sentences(sentences: DataFrame, lexical=True, encoder=True) -> DataFrame:
+def profiled_sentences(sentences: DataFrame, lexical=True, encoder=True, keep_text=False) -> DataFrame:
     """Reference-side scoring profile, computed once per sentence."""
-    return S.profile(sentences.select("sent_id", F.col("text").alias("original")),
-                     "original", "r", lexical, encoder).drop("original")
+    prof = S.profile(sentences.select("sent_id", F.col("text").alias("original")),
+                     "original", "r", lexical, encoder)
+    return prof if keep_text else prof.drop("original")
+
+
+def with_edits(pairs: DataFrame, ref_col: str, hyp_col: str) -> DataFrame:
+    """Add the partials of the translation edit rate (``edits``, ``ref_words``)."""
+    return (pairs.withColumn("_e", ter_edits_udf(F.col(hyp_col), F.col(ref_col)))
+            .withColumns({"edits": F.col("_e.edits"), "ref_words": F.col("_e.ref_words")}).drop("_e"))
 
 
 def score_against_sentences(pairs: DataFrame, sentences: DataFrame, hyp_col: str,
@@ -98,20 +107,16 @@ def score_against_sentences(pairs: DataFrame, sentences: DataFrame, hyp_col: str
     """
     spark = pairs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prof = profiled_sentences(sentences, lexical, encoder)
+    prof = profiled_sentences(sentences, lexical, encoder, keep_text=with_ter)
     uniq = pairs.select("sent_id", hyp_col).distinct()
     # Scoring is CPU-heavy but small in bytes: an explicit partition count keeps
     # AQE from coalescing it into a handful of tasks.
     j = uniq.repartition(n, "sent_id").join(prof, "sent_id")
+    if with_ter:
+        j = with_edits(j, "original", hyp_col).drop("original")
     stats = S.pair_stats(S.profile(j, hyp_col, "h", lexical, encoder), "r", "h", lexical, encoder)
     scored = pairs.select(*keys, "sent_id", hyp_col).join(stats, ["sent_id", hyp_col])
-    out = S.aggregate_scores(scored, keys, lexical, encoder, rounded)
-    if with_ter:
-        from ..operators.ter import corpus_ter
-        t = corpus_ter(pairs.join(sentences.select("sent_id", F.col("text").alias("_orig")), "sent_id"),
-                       "_orig", hyp_col, keys)
-        out = out.join(t, keys, "left")
-    return out
+    return S.aggregate_scores(scored, keys, lexical, encoder, rounded, edits=with_ter)
 
 
 def back_translation_cells(sentences: DataFrame, langs: DataFrame, backends: list[str],
@@ -219,12 +224,11 @@ def round_trip(sentences: DataFrame, langs: DataFrame, backends: list[str],
     aba = score_against_sentences(leg3.select(*keys, "sent_id", "back"), sentences, "back",
                                   keys, encoder=False, with_ter=with_ter, rounded=rounded)
     n = int(leg3.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bab_pairs = S.score_pairs(leg3.select(*keys, "sent_id", "forward", "third").repartition(n),
-                              "forward", "third", encoder=False)
-    bab = S.aggregate_scores(bab_pairs, keys, encoder=False, rounded=rounded)
+    legs = leg3.select(*keys, "sent_id", "forward", "third").repartition(n)
     if with_ter:
-        from ..operators.ter import corpus_ter
-        bab = bab.join(corpus_ter(leg3, "forward", "third", keys), keys, "left")
+        legs = with_edits(legs, "forward", "third")
+    bab_pairs = S.score_pairs(legs, "forward", "third", encoder=False)
+    bab = S.aggregate_scores(bab_pairs, keys, encoder=False, rounded=rounded, edits=with_ter)
     cols = ["cosine", "bleu"] + (["ter"] if with_ter else [])
     out = (aba.select(*keys, F.lit("ABA").alias("direction"), *cols)
            .unionByName(bab.select(*keys, F.lit("BAB").alias("direction"), *cols)))

@@ -400,7 +400,7 @@ def q_exact_dups(spark, sf):
     return quality.exact_dups(dims.load_table(spark, sf, "documents"))
 
 
-@register("near_dups", TS.near_dups_sql(quality.SHINGLE, quality.BANDS, quality.ROWS, quality.NEAR))
+@register("near_dups", TS.near_dups_sql(quality.SHINGLE, 4, 5))
 def q_near_dups(spark, sf):
     return quality.near_dups(dims.load_table(spark, sf, "documents"))
 
@@ -501,6 +501,27 @@ def q_corpus_ter(spark, sf):
     return TER.corpus_ter(tables.conversation_pairs(spark, sf), "original", "candidate", ["role"])
 
 
+@register("back_translation_metrics")
+def q_bt_metrics(spark, sf):
+    """D4 with all four metrics."""
+    return P.back_translation_cells(tables.sentences(spark, sf), dims.pivots(spark, sf), BACKENDS,
+                                    CacheStore.fresh(spark), with_ter=True)
+
+
+@register("telephone_chain_metrics")
+def q_chain_metrics(spark, sf):
+    """D5 to D7 with the edit rate (0 at hop 0)."""
+    return P.telephone_chain(tables.sentences(spark, sf), dims.chain_dim(spark, sf), BACKENDS,
+                             CacheStore.fresh(spark), with_ter=True)
+
+
+@register("round_trip_metrics")
+def q_round_trip_metrics(spark, sf):
+    """D8 with the edit rate in both directions."""
+    return P.round_trip(tables.sentences(spark, sf), dims.round_trip_languages(spark, sf), BACKENDS,
+                        CacheStore.fresh(spark), with_ter=True)
+
+
 @register("anova_p")
 def q_anova_p(spark, sf):
     c = _cells_once(spark, sf)

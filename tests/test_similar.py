@@ -62,3 +62,35 @@ def test_near_copies_of_the_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, " ".join(r.w)) for r in docs.select("doc_id", quality.T.words(F.lower("text")).alias("w")).collect()]
     assert found(docs) == smaller(rows)
+
+
+def test_members_unlike_their_groups_smallest(spark, monkeypatch):
+    """Chains of edits: the smallest member of a group is too far for most, so all members are compared."""
+    monkeypatch.setattr(similar, "BLOCK", 4)
+    rng = random.Random(9)
+    rows, d = [], 0
+    for g in range(6):
+        w = [f"c{g}x{k}" for k in range(100)]
+        for _ in range(15):
+            w = changed(w, rng.sample(range(100), rng.randint(1, 4))).split(" ")
+            rows.append((d, " ".join(w)))
+            d += 1
+    rng.shuffle(rows)
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == smaller(rows) and len(got) > 40
+
+
+def test_near_copies_of_a_large_group_are_compared_once_each(spark):
+    """A group whose members are all near its smallest leaves nothing for the second step."""
+    rng = random.Random(10)
+    w = [f"w{k}" for k in range(400)]
+    texts = [" ".join(w)] + [changed(w, [rng.randrange(400)]) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    h = quality.shingles(df).select(F.col("doc_id").alias("id"), F.array_distinct(F.transform("sh", lambda s: F.xxhash64(s))).alias("hs"))
+    sets = similar.cut(h.dropDuplicates(["hs"]).select("id", F.size("hs").alias("n"), "hs"))
+    held = similar.groups(sets, 4, 5)
+    first = similar.with_smallest(held, sets, 4, 5)
+    assert first.count() == sets.count() - 1 and {r.best for r in first.collect()} == {0}
+    members = held.groupBy("grp").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    assert members.count() == members.select("ids").distinct().count()  # groups of the same members count once
