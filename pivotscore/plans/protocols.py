@@ -24,6 +24,7 @@ from ..dims import PIVOT_LANG
 from ..operators import scoring as S
 from ..operators.ter import ter_edits_udf
 from ..sources.cache_store import CacheStore
+from .ledger import Ledger
 from .translate import materialize, resolve
 
 SENT_COLS = ["domain", "sent_id", "text"]
@@ -50,17 +51,22 @@ def backends_frame(spark: SparkSession, backends: list[str]) -> DataFrame:
 
 
 def _step(df: DataFrame, cache: CacheStore, backends: list[str], out_col: str,
-          tag: str, targets: list[str] | None = None) -> DataFrame:
-    """Resolve the request columns of ``df``; store the value as ``out_col``."""
-    r = resolve(df, cache, backends, targets)
-    r = (r.withColumnRenamed("value", out_col)
-         .withColumnRenamed("failed", f"{out_col}_failed")
-         .drop("key", "from_cache", "src", "tgt", "src_code", "tgt_code", "text"))
-    return materialize(r, tag)
+          tag: str, targets: list[str] | None = None, ledger: Ledger | None = None) -> DataFrame:
+    """Resolve the request columns of ``df``; store the value as ``out_col``.
+
+    With a ledger the step is computed only if the ledger lacks it.
+    """
+    def made() -> DataFrame:
+        r = resolve(df, cache, backends, targets)
+        return (r.withColumnRenamed("value", out_col)
+                .withColumnRenamed("failed", f"{out_col}_failed")
+                .drop("key", "from_cache", "src", "tgt", "src_code", "tgt_code", "text"))
+
+    return ledger.step(tag, made) if ledger else materialize(made(), tag)
 
 
 def back_translate(sentences: DataFrame, langs: DataFrame, backends: list[str],
-                   cache: CacheStore) -> DataFrame:
+                   cache: CacheStore, ledger: Ledger | None = None) -> DataFrame:
     """D3: (backend, family, language, domain, sent_id, forward, back, *_failed).
 
     The grid sentences x languages x backends (C1) is a cross join with two
@@ -75,12 +81,12 @@ def back_translate(sentences: DataFrame, langs: DataFrame, backends: list[str],
                           F.lit(None).cast("int").alias("src_code"),
                           F.col("code").alias("tgt_code"), "text")
     lang_list = names(langs)
-    fwd = _step(fwd_req, cache, backends, "forward", "bt-fwd", lang_list)
+    fwd = _step(fwd_req, cache, backends, "forward", "bt-fwd", lang_list, ledger)
     back_req = fwd.select("*", F.col("language").alias("src"), F.lit(PIVOT_LANG).alias("tgt"),
                           F.col("code").alias("src_code"),
                           F.lit(None).cast("int").alias("tgt_code"),
                           F.col("forward").alias("text"))
-    return _step(back_req, cache, backends, "back", "bt-back", [PIVOT_LANG])
+    return _step(back_req, cache, backends, "back", "bt-back", [PIVOT_LANG], ledger)
 
 
 def profiled_sentences(sentences: DataFrame, lexical=True, encoder=True, keep_text=False) -> DataFrame:
@@ -120,9 +126,13 @@ def score_against_sentences(pairs: DataFrame, sentences: DataFrame, hyp_col: str
 
 
 def back_translation_cells(sentences: DataFrame, langs: DataFrame, backends: list[str],
-                           cache: CacheStore, with_ter: bool = False) -> DataFrame:
-    """One row per (translator, family, language, domain) with the metrics."""
-    bt = back_translate(sentences, langs, backends, cache)
+                           cache: CacheStore, with_ter: bool = False, resume: bool = False) -> DataFrame:
+    """One row per (translator, family, language, domain) with the metrics.
+
+    ``resume`` keeps each leg in a ledger and takes up a stopped run of the same inputs.
+    """
+    ledger = Ledger.of(sentences.sparkSession, "back_translation", backends, sentences, langs) if resume else None
+    bt = back_translate(sentences, langs, backends, cache, ledger)
     cells = score_against_sentences(
         bt.select("backend", "family", "language", "domain", "sent_id", "back"),
         sentences, "back", ["backend", "family", "language", "domain"], with_ter=with_ter)
@@ -130,13 +140,14 @@ def back_translation_cells(sentences: DataFrame, langs: DataFrame, backends: lis
 
 
 def telephone_chain(sentences: DataFrame, chain: DataFrame, backends: list[str],
-                    cache: CacheStore, with_ter: bool = False) -> DataFrame:
+                    cache: CacheStore, with_ter: bool = False, ledger: Ledger | None = None) -> DataFrame:
     """(translator, order, domain, hop, lang_code, cosine, bleu[, ter]).
 
     ``chain`` is (order, hop, language, code).  Step k resolves the chain's
     forward requests of hop k together with the English detour of hop k-1, so
     the number of resolve rounds is hops + 1 and every round dedupes across
-    orders, domains and backends.
+    orders, domains and backends.  With a ledger a stopped run goes on after
+    its last whole hop.
     """
     spark = sentences.sparkSession
     orders = chain.select("order").distinct()
@@ -168,7 +179,7 @@ def telephone_chain(sentences: DataFrame, chain: DataFrame, backends: list[str],
         tg = [PIVOT_LANG] if pending is not None else []
         if hop <= hops:
             tg += names(chain.filter(F.col("hop") == hop))
-        res = _step(req, cache, backends, "out", f"chain-{hop}", sorted(set(tg)))
+        res = _step(req, cache, backends, "out", f"chain-{hop}", sorted(set(tg)), ledger)
         if pending is not None:
             detours.append(res.filter(F.col("leg") == "detour"))
         if hop <= hops:
@@ -206,7 +217,7 @@ def telephone_chain(sentences: DataFrame, chain: DataFrame, backends: list[str],
 
 
 def round_trip(sentences: DataFrame, langs: DataFrame, backends: list[str],
-               cache: CacheStore, with_ter: bool = False, rounded: bool = True) -> DataFrame:
+               cache: CacheStore, with_ter: bool = False, rounded: bool = True, ledger: Ledger | None = None) -> DataFrame:
     """(translator, language, domain, direction, cosine, bleu[, ter]).
 
     ABA scores the back-translation against the original; BAB scores the
@@ -215,11 +226,11 @@ def round_trip(sentences: DataFrame, langs: DataFrame, backends: list[str],
     from (and fill) the same cache entries.
     """
     bt = back_translate(sentences, langs.select(
-        F.lit(None).cast("string").alias("family"), "language", "code"), backends, cache)
+        F.lit(None).cast("string").alias("family"), "language", "code"), backends, cache, ledger)
     leg3 = bt.select("*", F.lit(PIVOT_LANG).alias("src"), F.col("language").alias("tgt"),
                      F.lit(None).cast("int").alias("src_code"),
                      F.col("code").alias("tgt_code"), F.col("back").alias("text"))
-    leg3 = _step(leg3, cache, backends, "third", "rt-leg3", names(langs))
+    leg3 = _step(leg3, cache, backends, "third", "rt-leg3", names(langs), ledger)
     keys = ["backend", "language", "domain"]
     aba = score_against_sentences(leg3.select(*keys, "sent_id", "back"), sentences, "back",
                                   keys, encoder=False, with_ter=with_ter, rounded=rounded)

@@ -52,16 +52,13 @@ def with_key(requests: DataFrame) -> DataFrame:
 def lookup(requests: DataFrame, cache: CacheStore, backends: list[str],
            targets: list[str] | None = None) -> DataFrame:
     """Requests + ``key`` + ``cached`` value (NULL on a miss)."""
-    hits = cache.read(backends, targets).select("key", F.col("value").alias("cached"))
-    return with_key(requests).join(hits, "key", "left")
+    return cache.attach(with_key(requests), backends, targets).drop("cached_batch")
 
 
 def misses(requests: DataFrame, cache: CacheStore, backends: list[str],
            targets: list[str] | None = None) -> DataFrame:
     """C4: one row per missing key (a duplicate request is sent once)."""
-    hits = cache.read(backends, targets).select("key")
-    return (with_key(requests).select("key", *REQUEST_COLS)
-            .dropDuplicates(["key"]).join(hits, "key", "left_anti"))
+    return cache.absent(with_key(requests).select("key", *REQUEST_COLS).dropDuplicates(["key"]), backends, targets)
 
 
 def enrich(miss: DataFrame, backends: list[str]) -> DataFrame:
@@ -90,13 +87,13 @@ def resolve(requests: DataFrame, cache: CacheStore, backends: list[str],
     target languages of the requests, when known) prunes the cache scan.
     """
     batch = uuid.uuid4().hex
+    cache.maintain()
+    seen = cache.version()
     todo = misses(requests, cache, backends, targets)
-    cache.append(enrich(todo, backends).filter(~F.col("failed")).withColumn("batch", F.lit(batch))
-                 .select("key", "src", "tgt", "value", "backend", "batch"))
-    held = cache.read(backends, targets).select("key", F.col("value").alias("_value"), (F.col("batch") != batch).alias("_old"))
+    cache.append(enrich(todo, backends).filter(~F.col("failed")).select("key", "src", "tgt", "value", "backend"), seen, batch)
+    out = cache.attach(with_key(requests), backends, targets)
     # An empty text needs no call and has no failure.
-    out = with_key(requests).join(held, "key", "left")
-    return (out.withColumn("value", F.coalesce("_value", "text"))
-            .withColumn("failed", F.col("_value").isNull() & F.col("text").isNotNull())
-            .withColumn("from_cache", F.coalesce("_old", F.lit(False)))
-            .drop("_value", "_old"))
+    return (out.withColumn("value", F.coalesce("cached", "text"))
+            .withColumn("failed", F.col("cached").isNull() & F.col("text").isNotNull())
+            .withColumn("from_cache", F.col("cached").isNotNull() & (F.col("cached_batch") != batch))
+            .drop("cached", "cached_batch"))
