@@ -12,7 +12,10 @@ entry is one more than the least one passed since that queue's last entry.
 
 Entries arrive in sorted order, so each priority queue is a row of first-in,
 first-out blocks; blocks beyond ``MEMORY`` bytes go to an unnamed scratch
-file of the task, as does a large text's type array.
+file of the task.  What stays in memory is the text (2 bytes a symbol), its
+types (1), and for the leftmost-S suffixes, at most half of all, the names
+(4 bytes each for every doubling, 9 at most for 400 symbols): some 30 bytes a
+symbol at the worst.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import tempfile
 import numpy as np
 
 #: Bytes of queue entries kept in memory; entries read from a queue at once.
-MEMORY, BLOCK = 96_000_000, 1 << 20
+MEMORY, BLOCK = 16_000_000, 1 << 18
 
 
 class Queues:
@@ -243,8 +246,9 @@ class Sorter:
         same[same] = agree >= la[same]
         place = np.arange(m)
         start = np.maximum.accumulate(np.where(np.r_[True, ~same], place, 0))
-        rank = np.empty(m, np.int64)
+        rank = np.empty(m, self.kind)
         rank[index] = start
+        del order, index, start, a, b, la, lb, same, agree, place, done, parts, rough
         # Sort the sequence of names: a round names pairs of the names so far.
         ranks, width = [rank], 1
         while True:
@@ -261,6 +265,7 @@ class Sorter:
             offset = np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
             fresh = rank.copy()
             fresh[live[order2]] = r + offset
+            del nxt, order2, r, x, group, new, at, offset
             rank, width = fresh, 2 * width
             ranks.append(rank)
         final = np.argsort(rank, kind="stable")

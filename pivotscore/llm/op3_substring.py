@@ -33,7 +33,7 @@ from .op3_induced import repeats
 
 WINDOW, GRAM, SIDE = 400, 50, 225
 #: Bytes of pieces in a shard, about, and bytes of a text looked at together.
-SHARD, CHUNK = 6_000_000, 4_000_000
+SHARD, CHUNK = 2_000_000, 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -144,13 +144,18 @@ def shards(distinct: DataFrame, total: int) -> DataFrame:
 
     ``distinct(sid, anchor, q, windows, piece)``.  An anchor with more than a
     shard's bytes is split by the windows' offsets from the anchor: windows
-    with different offsets are never equal.
+    with different offsets are never equal.  One that is still too large with
+    every offset by itself is dealt by a hash of the window as well, which
+    equal windows share.
     """
     count = max(1, math.ceil(total / SHARD))
     heavy = distinct.groupBy("anchor").agg(F.sum(F.length("piece")).alias("bytes")).filter(F.col("bytes") > SHARD)
     reach = WINDOW - GRAM + 1
-    heavy = cut(heavy.select("anchor", F.least(F.ceil(F.col("bytes") / SHARD), F.lit(reach)).cast("int").alias("ways")))
-    dealt = distinct.join(heavy, "anchor", "left").withColumn("ways", F.coalesce("ways", F.lit(1)))
+    # Cut to single windows, a piece of w bytes gives w - WINDOW + 1 windows of WINDOW bytes.
+    heavy = cut(heavy.select("anchor", F.least(F.ceil(F.col("bytes") / SHARD), F.lit(reach)).cast("int").alias("ways"),
+                             F.ceil(F.col("bytes") / (F.lit(float(SHARD)) * reach)).cast("long").alias("hands")))
+    dealt = (distinct.join(heavy, "anchor", "left").withColumn("ways", F.coalesce("ways", F.lit(1)))
+             .withColumn("hands", F.coalesce("hands", F.lit(1).cast("long"))))
     dealt = dealt.withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
     step = F.ceil(F.lit(reach) / F.col("ways")).cast("int")
     # Offsets from way * step on, that is window starts from low to high.
@@ -158,7 +163,9 @@ def shards(distinct: DataFrame, total: int) -> DataFrame:
     high = F.least(F.col("windows") - 1, F.col("q") - F.col("way") * step)
     dealt = dealt.withColumn("low", F.when(F.col("ways") > 1, low).otherwise(0)).withColumn("high", F.when(F.col("ways") > 1, high).otherwise(F.col("windows") - 1))
     dealt = (dealt.filter("low <= high")
-             .select("sid", "anchor", "way", "low", F.expr(f"substring(piece, low + 1, high - low + {WINDOW})").alias("piece")))
+             .select("sid", "anchor", "way", "low", "ways", "hands", F.expr(f"substring(piece, low + 1, high - low + {WINDOW})").alias("piece"))
+             .withColumn("hand", F.when(F.col("ways") == reach, F.pmod(F.xxhash64("piece"), F.col("hands"))).otherwise(0))
+             .select("sid", "anchor", "way", "hand", "low", "piece"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sids, lows, sizes, parts = [], [], [], []
@@ -184,7 +191,7 @@ def shards(distinct: DataFrame, total: int) -> DataFrame:
         low = np.array(lows, np.int64)[which] - start[which]
         yield pa.RecordBatch.from_arrays([pa.array([sids[k] for k in which], pa.binary()), pa.array(s + low), pa.array(e + low)], names=["sid", "s", "e"])
 
-    return dealt.repartition(count, "anchor", "way").mapInArrow(rows, "sid binary, s long, e long")
+    return dealt.repartition(count, "anchor", "way", "hand").mapInArrow(rows, "sid binary, s long, e long")
 
 
 def removed(data: bytes, starts: list[tuple[int, int]]) -> tuple[bytes, int, int]:

@@ -51,11 +51,12 @@ def chance(key: Column) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2 ** 52))
 
 
-def copies(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
-    """(doc_id, source, size, source_size, target, expected, n_copies, taken) of every document."""
-    light = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    light = light.withColumn("grp", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    # Sources are few: one row each, as are (source, length class) pairs with at most 63 classes.
+def shares(light: DataFrame, weights: tuple, share: float, most: float) -> tuple[DataFrame, DataFrame]:
+    """(grp, source_size, target) of each source and (grp, cls, expected, whole, left) of each of its length classes.
+
+    ``light(grp, source, size)``.  Sources are few: one row each, as are their
+    length classes, at most 63 a source.
+    """
     sources = light.groupBy("grp", "source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), place % len(weights) + 1)
@@ -65,8 +66,7 @@ def copies(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most
     sources = fill(sources, [], ["ratio", "grp"], "cap", "w", "wanted")
     sources = sources.select("grp", F.col("source_size"), F.least("cap", F.col("w") * F.col("level")).alias("target"))
 
-    classed = light.withColumn("cls", F.when(F.col("size") > 0, F.length(F.bin("size")) - 1).otherwise(F.lit(-1)))
-    classes = (classed.filter("size > 0").groupBy("grp", "cls").agg(F.sum("size").alias("words"))
+    classes = (light.withColumn("cls", length_class()).filter("size > 0").groupBy("grp", "cls").agg(F.sum("size").alias("words"))
                .join(sources, "grp")
                .withColumn("odds", 1.0 / (F.lit(8.0) + F.col("cls")))  # longer texts are repeated a little less
                .withColumn("cap", most * F.col("words")).withColumn("w", F.col("odds") * F.col("words")))
@@ -74,47 +74,83 @@ def copies(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most
     classes = (classes.withColumn("expected", F.least(F.lit(most), F.col("level") * F.col("odds")))
                .withColumn("whole", F.floor("expected")))
     sure = F.sum(F.col("whole") * F.col("words")).over(Window.partitionBy("grp"))
-    classes = cut(classes.withColumn("left", F.col("target") - sure).select("grp", "cls", "expected", "whole", "left"))
+    return cut(sources), cut(classes.withColumn("left", F.col("target") - sure).select("grp", "cls", "expected", "whole", "left"))
+
+
+def group() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+
+
+def length_class() -> Column:
+    return F.when(F.col("size") > 0, F.length(F.bin("size")) - 1).otherwise(F.lit(-1))
+
 
+def ranked(rows: DataFrame, classes: DataFrame, seed: str) -> DataFrame:
+    """``rows(doc_id, grp, size, ...)`` with their class's columns and ``rank``, null where no copy is left to chance."""
     u = chance(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     p = F.col("expected") - F.col("whole")
-    ranked = (classed.join(cut(sources), "grp").join(classes, ["grp", "cls"], "left")
-              .withColumn("u", u)
-              .withColumn("rank", F.when(p > 0, F.col("u") / (1 - F.col("u")) / (p / (1 - p))))
-              .withColumn("bin", F.when(F.col("rank").isNotNull(), F.floor(F.lit(BINS) * F.col("rank") / (1 + F.col("rank"))))))
-    ranked = cut(ranked)
+    # Classes are at most 64 rows a source.
+    return (rows.withColumn("cls", length_class()).join(F.broadcast(classes), ["grp", "cls"], "left").withColumn("u", u)
+            .withColumn("rank", F.when(p > 0, F.col("u") / (1 - F.col("u")) / (p / (1 - p)))).drop("u"))
+
+
+def drawn(placed: DataFrame) -> DataFrame:
+    """The rows with a rank, with ``extra``: 1 for those that come before their source's words are used up.
+
+    Taken while at least half of the document fits into what is still wanted;
+    once one is not, none after it is.
+    """
+    bin_ = F.floor(F.lit(BINS) * F.col("rank") / (1 + F.col("rank")))
+    some = placed.filter("rank is not null").withColumn("bin", bin_)
     by_bin = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = (ranked.filter("bin is not null").groupBy("grp", "bin").agg(F.sum("size").alias("words"))
+    bins = (some.groupBy("grp", "bin").agg(F.sum("size").alias("words"))
             .withColumn("ahead", F.coalesce(F.sum("words").over(by_bin), F.lit(0))).select("grp", "bin", "ahead"))
     own = Window.partitionBy("grp", "bin").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = (ranked.filter("bin is not null").join(cut(bins), ["grp", "bin"])
-             .withColumn("before", F.col("ahead") + F.coalesce(F.sum("size").over(own), F.lit(0)))
-             # taken while at least half of the document fits into what is still wanted
-             .withColumn("extra", (2 * F.col("before") + F.col("size") <= 2 * F.col("left")).cast("int")))
+    return (some.join(cut(bins), ["grp", "bin"])
+            .withColumn("before", F.col("ahead") + F.coalesce(F.sum("size").over(own), F.lit(0)))
+            .withColumn("extra", (2 * F.col("before") + F.col("size") <= 2 * F.col("left")).cast("int")).drop("bin", "ahead", "before"))
+
+
+def copies(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
+    """(doc_id, source, size, source_size, target, expected, n_copies, taken) of every document."""
+    light = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))).withColumn("grp", group())
+    sources, classes = shares(light, weights, share, most)
+    placed = cut(ranked(light.join(sources, "grp"), classes, seed))
     cols = ["doc_id", "source", "size", "source_size", "target", "expected", "whole"]
-    out = drawn.select(*cols, "extra").unionByName(ranked.filter("bin is null").select(*cols, F.lit(0).alias("extra")))
+    out = drawn(placed).select(*cols, "extra").unionByName(placed.filter("rank is null").select(*cols, F.lit(0).alias("extra")))
     n = F.coalesce(F.col("whole") + F.col("extra"), F.lit(0)).cast("int")
     return (out.withColumn("n_copies", n).withColumn("taken", (F.col("n_copies") * F.col("size")).cast("long"))
             .drop("whole", "extra"))
 
 
-def repeat(docs: DataFrame, **options) -> DataFrame:
+def repeat(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it.
 
-    A document of no words is taken no time.  Rows that agree in id, source
-    and size are told apart by their text's hash, and ranked in that order.
+    A document of no words is taken no time.  A source's ranks are taken up
+    to its first row that no longer fits, so a row's number of copies follows
+    from its own columns and that limit (a row for each source), and no text
+    is moved.  Only rows that tie with a limit in rank, id and size are put
+    in order, by their text's hash.
     """
-    told = cut(copies(docs, **options).filter("taken > 0")
-               .groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("n_copies"), asc=False).alias("each")))
-    cols = docs.columns
-    keyed = docs.select("*", word_count(F.col("text")).alias("size_"))
-    hit = told.select(F.col("doc_id").alias("d_"), F.col("source").alias("s_"), F.col("size").alias("w_"), "each")
-    got = keyed.join(hit, F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("source").eqNullSafe(F.col("s_")) & (F.col("size_") == F.col("w_")))
-    alike = got.filter(F.size("each") > 1)
-    turn = F.row_number().over(Window.partitionBy("doc_id", "source", "size_").orderBy(F.xxhash64("text")))
-    n = got.filter(F.size("each") == 1).withColumn("n_", F.element_at("each", 1)).select(*cols, "n_")
-    n = n.unionByName(alike.withColumn("n_", F.get("each", turn - 1)).select(*cols, "n_"))
-    return n.filter("n_ > 0").withColumn("n_", F.explode(F.sequence(F.lit(1), F.col("n_")))).select(*cols)
+    light = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))).withColumn("grp", group())
+    _, classes = shares(light, weights, share, most)
+    place = F.struct("rank", "doc_id", "size")
+    found = cut(drawn(ranked(light, classes, seed)).select("grp", place.alias("place"), "extra"))
+    limits = cut(found.filter("extra = 0").groupBy("grp").agg(F.min("place").alias("limit")))
+    ties = found.join(F.broadcast(limits), "grp").filter("extra = 1 and place <=> limit").groupBy("grp").agg(F.count(F.lit(1)).alias("ties"))
+    limits = cut(limits.join(ties, "grp", "left").select("grp", "limit", F.coalesce("ties", F.lit(0)).alias("ties")))
+
+    whole = docs.select("doc_id", word_count(F.col("text")).alias("size"), group().alias("grp"), "text",
+                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    told = (ranked(whole, classes, seed).join(F.broadcast(limits), "grp", "left").withColumn("place", place)
+            .withColumn("tied", F.coalesce(F.col("rank").isNotNull() & F.col("place").eqNullSafe(F.col("limit")), F.lit(False))))
+    extra = F.when(F.col("rank").isNotNull() & (F.col("limit").isNull() | (F.col("place") < F.col("limit"))), 1).otherwise(0)
+    turn = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("text")))
+    n = F.coalesce(F.col("whole"), F.lit(0))
+    plain = told.filter("not tied").select("row", (n + extra).cast("int").alias("n"))
+    tied = told.filter("tied").select("row", (n + (turn <= F.col("ties")).cast("int")).cast("int").alias("n"))
+    both = plain.unionByName(tied).filter("n > 0")
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 def oracle(weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> str:
