@@ -13,6 +13,9 @@ runs go through the cluster side by side.  A bucket that is still too large
 after the deepest split is compared in blocks, so nothing is dropped.
 
 A bucket gives no list of pairs but a forest that connects its similar sets.
+The first ``FIRST`` runs go ahead; what they connect is a known group, and the
+other runs only add edges between groups, so a large group of copies gives
+its edges once and not in every run.
 The forests' components are the candidate groups; inside each, all pairs are
 checked exactly on the whole shingle sets, block by block for large groups,
 and give each set's number of links and again a forest.  So what is written
@@ -32,6 +35,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -47,6 +51,10 @@ SHINGLE, TOKENS, LIMIT, DEEPEST = 5, 64, 1024, 3
 PICK = 0.6
 #: The chance of missing a pair at the threshold through all runs.
 MISS = 1e-5
+#: Runs that go ahead of the others.
+FIRST = 2
+#: Bits of the filter that keeps other texts out of the exact check's shuffle: a bound, whatever the input's size.
+FILTER_BITS = 1 << 26
 #: Sets of a block in the exact check, and columns of its matrix products.
 BLOCK, COLUMNS = 256, 16_384
 _SLACK = 0.25  # of the estimate from the embedding, five standard deviations
@@ -110,42 +118,44 @@ def chosen(nodes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, rk, sid, n, sig): every row's set id, set size and embedding; sid null without words."""
+    """(doc_id, rk, sid, n, sig, mark): every row's set id, set size and embedding; sid null without words."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sid, n, sig = [], [], []
+            sid, n, sig, mark = [], [], [], []
             for t in b.column("text").to_pylist():
                 s = shingles(t, size)
                 n.append(len(s))
                 sid.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sig.append(embed(s).tobytes() if len(s) else None)
+                low = embed(s) if len(s) else None
+                sig.append(low.tobytes() if len(s) else None)
+                mark.append((low & np.uint32(0xFF)).astype(np.uint8).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), pa.array(sid, pa.binary()), pa.array(n, pa.int32()),
-                                              pa.array(sig, pa.binary())], names=["doc_id", "rk", "sid", "n", "sig"])
+                                              pa.array(sig, pa.binary()), pa.array(mark, pa.binary())], names=["doc_id", "rk", "sid", "n", "sig", "mark"])
 
     return (docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("rk"), "text")
-            .mapInArrow(rows, "doc_id long, rk binary, sid binary, n int, sig binary"))
+            .mapInArrow(rows, "doc_id long, rk binary, sid binary, n int, sig binary, mark binary"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, TOKENS)
 
 
-def split(nodes: DataFrame, n_runs: int | None = None) -> DataFrame:
-    """(node, sid): one split of ``nodes(node, sid, sig)``, or the first one of every run."""
+def split(nodes: DataFrame, run_numbers: range | None = None) -> DataFrame:
+    """(node, sid): one split of ``nodes(node, sid, sig)``, or the first one of each of the runs."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sigs, ids = _matrix(b.column("sig")), b.column("sid")
-            for start in ([np.full(len(ids), r + 1, np.uint64) for r in range(n_runs)] if n_runs
+            for start in ([np.full(len(ids), r + 1, np.uint64) for r in run_numbers] if run_numbers
                           else [b.column("node").to_numpy().view(np.uint64)]):
                 at, child = chosen(start, sigs)
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), ids.take(pa.array(at))], names=["node", "sid"])
 
-    cols = ["sid", "sig"] if n_runs else ["node", "sid", "sig"]
+    cols = ["sid", "sig"] if run_numbers else ["node", "sid", "sig"]
     return nodes.select(*cols).mapInArrow(rows, "node long, sid binary")
 
 
-def forest(n: int, pairs) -> list[tuple[int, int]]:
-    """Edges that connect what the pairs (two arrays each) of 0..n-1 connect."""
+def forest(n: int, pairs, known: tuple = ((), ())) -> list[tuple[int, int]]:
+    """Edges that connect what the pairs (two arrays each) of 0..n-1 connect and the ``known`` pairs don't."""
     up = list(range(n))
 
     def top(i):
@@ -154,6 +164,9 @@ def forest(n: int, pairs) -> list[tuple[int, int]]:
             i = up[i]
         return i
 
+    for i, j in zip(*known, strict=True):
+        i, j = top(i), top(j)
+        up[max(i, j)] = min(i, j)
     out = []
     for x, y in pairs:
         for i, j in zip(x.tolist(), y.tolist(), strict=True):
@@ -167,8 +180,10 @@ def forest(n: int, pairs) -> list[tuple[int, int]]:
 def compare(cells: DataFrame, threshold: float) -> DataFrame:
     """(a, b): a forest of the pairs inside a cell that the embeddings and sizes allow.
 
-    ``cells(cell, side, sid, n, sig)``: with side null a cell's sets are all
-    compared, else those of side 0 with those of side 1.
+    ``cells(cell, side, sid, n, mark, grp)``: with side -1 a cell's sets are
+    all compared, else those of side 0 with those of side 1.  A mark holds
+    the last byte of each token, so it never hides an agreement.  Sets of the
+    same ``grp`` (0: none) are connected already.
     """
     least = math.floor(TOKENS * (threshold - _SLACK))
 
@@ -219,7 +234,12 @@ def compare(cells: DataFrame, threshold: float) -> DataFrame:
         cell, n = t.column("cell").to_numpy(), t.column("n").to_numpy()
         side = t.column("side").to_numpy()
         ids = t.column("sid").to_pylist()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, TOKENS)
+        sig = np.frombuffer(b"".join(t.column("mark").to_pylist()), np.uint8).reshape(-1, TOKENS)
+        grp = t.column("grp").to_numpy()
+        grouped = np.flatnonzero(grp)
+        grouped = grouped[np.lexsort((grp[grouped], cell[grouped]))]
+        chain = (cell[grouped[1:]] == cell[grouped[:-1]]) & (grp[grouped[1:]] == grp[grouped[:-1]])
+        known = (grouped[1:][chain].tolist(), grouped[:-1][chain].tolist())
         starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
         sizes, starts = np.diff(starts), starts[:-1]
         small = (sizes <= 32) & (side[starts] < 0)
@@ -227,36 +247,72 @@ def compare(cells: DataFrame, threshold: float) -> DataFrame:
         for k in np.flatnonzero(~small & (sizes > 1)):
             got += many(starts[k], starts[k] + sizes[k], side, n, sig)
         # Cells share no row, so one forest over the rows holds each cell's own.
-        found = {(ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i]) for i, j in forest(len(ids), got)}
+        found = {(ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i]) for i, j in forest(len(ids), got, known)}
         a, b = zip(*found, strict=True) if found else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    dealt = cells.select("cell", "side", "sid", "n", "sig").repartition("cell").sortWithinPartitions("cell")
+    dealt = cells.select("cell", "side", "sid", "n", "mark", "grp").repartition("cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(rows, "a binary, b binary")
 
 
 def candidates(distinct: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): forests of the candidate pairs of ``distinct(sid, n, sig)`` from all runs."""
+    """(id, root): groups that hold the candidate pairs of ``distinct(sid, n, sig, mark)`` from all runs."""
+    every = runs(threshold)
+    none = distinct.select("sid", "n", "mark", F.lit(0).cast("long").alias("grp"))
+    ahead = found_in(distinct, none, range(min(FIRST, every)), threshold)
+    groups = cut(components(ahead))
+    if every <= FIRST:
+        return groups
+    named = groups.select(F.col("id").alias("sid"), F.xxhash64("root").alias("grp"))
+    known = cut(distinct.select("sid", "n", "mark").join(named, "sid", "left").withColumn("grp", F.coalesce("grp", F.lit(0).cast("long"))))
+    later = found_in(distinct, known, range(FIRST, every), threshold)
+    return cut(components(ahead.unionByName(later)))
+
+
+def found_in(distinct: DataFrame, known: DataFrame, run_numbers: range, threshold: float) -> DataFrame:
+    """(a, b): forests of the candidate pairs of some runs, beyond the groups of ``known(sid, n, mark, grp)``."""
     found = None
-    nodes = split(distinct, runs(threshold))
+    nodes = split(distinct, run_numbers)
     for depth in range(1, DEEPEST + 1):
-        nodes = cut(nodes)
-        sizes = cut(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
-        filled = nodes.join(sizes, "node")
+        nodes = cut(nodes).repartition("node")  # counted and looked up in one exchange
+        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+        filled = cut(nodes.join(sizes.hint("merge"), "node"))
         small = filled.filter(F.col("members") <= LIMIT).select(F.col("node").alias("cell"), F.lit(-1).alias("side"), "sid")
-        got = cut(compare(small.join(distinct, "sid"), threshold).distinct())
+        got = cut(compare(small.join(known.hint("merge"), "sid"), threshold).distinct())
         found = got if found is None else found.unionByName(got)
-        if not sizes.filter(F.col("members") > LIMIT).limit(1).count():
+        if not filled.filter(F.col("members") > LIMIT).limit(1).count():
             return cut(found.distinct())
         large = filled.filter(F.col("members") > LIMIT)
         if depth < DEEPEST:
-            nodes = split(large.join(distinct, "sid").select("node", "sid", "sig"))
+            nodes = split(large.join(distinct.hint("merge"), "sid").select("node", "sid", "sig"))
     # Still too large: every pair of blocks of such a bucket is a cell of its own.
     dealt = blocks(large, "node", F.col("members"), LIMIT)
-    found = found.unionByName(compare(dealt.select("cell", "side", "sid").join(distinct, "sid"), threshold))
+    found = found.unionByName(compare(dealt.select("cell", "side", "sid").join(known.hint("merge"), "sid"), threshold))
     return cut(found.distinct())
 
 
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Which of ``FILTER_BITS`` bits the keys' (``rk``) hashes set."""
+    place = F.pmod(F.xxhash64("rk"), F.lit(FILTER_BITS))
+    words = (keys.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rk), {FILTER_BITS}) % 64 as int))").alias("bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())  # at most FILTER_BITS / 64 rows
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def marked(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``texts`` with ``likely``: false only if ``rk`` is surely none of the keys."""
+    bits = bitmap(keys)
+
+    @F.pandas_udf("boolean")
+    def held(place: pd.Series) -> pd.Series:
+        at = place.to_numpy()
+        return pd.Series((bits[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return texts.withColumn("likely", held(F.pmod(F.xxhash64("rk"), F.lit(FILTER_BITS))))
+
+
 def blocks(members: DataFrame, key: str, count, size: int) -> DataFrame:
     """Deal the rows of a group (``key``, with ``count`` rows) into cells: one for each pair of its blocks."""
     n = F.ceil(count / size).cast("int")
@@ -309,7 +365,8 @@ def verify(docs: DataFrame, distinct: DataFrame, groups: DataFrame, size: int, t
             yield pa.RecordBatch.from_arrays([b.column("sid"), b.column("root"), b.column("members"), b.column("copies"), sets_],
                                              names=["sid", "root", "members", "copies", "set"])
 
-    texts = (docs.select(row_key("doc_id", "text").alias("rk"), "text").join(need, "rk")
+    keyed = marked(docs.select(row_key("doc_id", "text").alias("rk"), "text"), need).filter("likely").drop("likely")
+    texts = (keyed.join(need.hint("merge"), "rk")
              .groupBy("sid", "root", "members", "copies").agg(F.first("text").alias("text")))  # rows repeated whole
     whole = cut(texts.mapInArrow(hashes, "sid binary, root binary, members long, copies long, set binary"))
     dealt = blocks(whole, "root", F.col("members"), BLOCK).select("cell", "side", "sid", "copies", "set")
@@ -361,8 +418,8 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = 0.8) -> Dat
     rows = cut(sets(docs, size))
     distinct = cut(rows.filter("sid is not null").groupBy("sid")
                    .agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"), F.min("rk").alias("rk"),
-                        F.first("n").alias("n"), F.first("sig").alias("sig")))
-    groups = cut(components(candidates(distinct.select("sid", "n", "sig"), threshold)))
+                        F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("mark").alias("mark")))
+    groups = candidates(distinct.select("sid", "n", "sig", "mark"), threshold)
     degree, links = verify(docs, distinct, groups, size, threshold)
     root = components(links).select(F.col("id").alias("sid"), "root")
     named = (distinct.select("sid", "copies", "low").join(root, "sid", "left")
@@ -386,8 +443,11 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, threshold: float = 0.8) -> Da
     told = cut(classes(docs, size, threshold))
     first = told.filter("class_key is not null").groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk"))["rk"].alias("rk"))
     often = told.groupBy("rk").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("class_key").isNull()).alias("alone"))
-    keep = cut(often.join(first.withColumn("first", F.lit(True)), "rk", "left").filter("alone or first").select("rk", "rows", "alone"))
-    cols = docs.columns
-    found = docs.withColumn("rk_", row_key("doc_id", "text")).join(keep.withColumnsRenamed({"rk": "rk_", "rows": "rows_", "alone": "alone_"}), "rk_")
-    once = found.filter("rows_ = 1 or alone_").select(*cols)
-    return once.unionByName(found.filter("rows_ > 1 and not alone_").dropDuplicates(["rk_"]).select(*cols))
+    named = often.join(first.withColumn("first", F.lit(True)), "rk", "left").withColumn("first", F.coalesce("first", F.lit(False)))
+    # Rows that go or are repeated; all others stay as they are and are not moved.
+    special = cut(named.filter("not alone and not (rows = 1 and first)").select("rk", "first"))
+    whole = docs.select(row_key("doc_id", "text").alias("rk"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    whole = marked(whole, special)
+    told = whole.filter("likely").join(special.hint("merge"), "rk", "left")
+    once = told.filter("first").dropDuplicates(["rk"])
+    return whole.filter("not likely").select("row.*").unionByName(told.filter("first is null").select("row.*")).unionByName(once.select("row.*"))

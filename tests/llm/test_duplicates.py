@@ -5,9 +5,11 @@ import hashlib
 import random
 
 import numpy as np
-from conftest import awkward
+import pytest
+from conftest import SF, awkward
 
-from pivotscore.llm import op1_jaccard, op3_induced, op3_substring, op8_sentences
+from pivotscore.llm import op1_jaccard, op3_induced, op3_substring, op6_mix, op8_sentences
+from pivotscore.llm.common import table
 
 
 def grouped(rows, threshold=0.8):
@@ -60,6 +62,40 @@ def test_large_buckets_are_split_and_dealt_in_blocks(spark, monkeypatch):
     assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in op1_jaccard.classes(df).collect()) == grouped(rows)
 
 
+def test_every_pair_of_the_tables_is_found(spark):
+    """The whole smallest table against all pairs."""
+    rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").select("doc_id", "text").collect()]
+    got = op1_jaccard.classes(table(spark, SF, "documents")).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in got) == grouped(rows)
+
+
+def test_a_group_gives_its_edges_once(spark):
+    """Runs after the first ones add no edge inside a group of near copies."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for d in range(80):
+        w = list(base)
+        w[rng.randrange(200)] = f"x{d}"
+        rows.append((d, " ".join(w)))
+    sets = op1_jaccard.cut(op1_jaccard.sets(spark.createDataFrame(rows, "doc_id long, text string"), 5).select("sid", "n", "sig", "mark"))
+    known = sets.select("sid", "n", "mark", op1_jaccard.F.lit(7).cast("long").alias("grp"))
+    assert op1_jaccard.found_in(sets, known, range(2, 14), 0.8).count() == 0
+    alone = known.withColumn("grp", op1_jaccard.F.lit(0).cast("long"))
+    assert op1_jaccard.found_in(sets, alone, range(2), 0.8).count() >= 79
+
+
+def test_columns_of_any_name_survive(spark):
+    names = ["size_", "each", "n_", "d_", "rk_", "row", "likely", "n", "place", "grp"]
+    rows = [(k, f"word{k % 5} two three four five six seven", "s", *names) for k in range(20)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    kept = op1_jaccard.keep_one(df)
+    assert kept.columns == df.columns and kept.count() == 5
+    assert {tuple(r)[3:] for r in kept.collect()} == {tuple(names)}
+    mixed = op6_mix.repeat(df)
+    assert mixed.columns == df.columns and {tuple(r)[3:] for r in mixed.collect()} == {tuple(names)}
+
+
 def test_one_of_each_class_stays(docs):
     kept = op1_jaccard.keep_one(docs.select("doc_id", "text", "lang", "source", "n_chars")).collect()
     ids = collections.Counter(r.doc_id for r in kept)
@@ -103,9 +139,10 @@ def test_substring_dedup_of_awkward_rows(docs, no_docs, monkeypatch):
     assert op3_substring.dedup(no_docs).count() == 0
 
 
-def test_heavy_anchors_are_split_by_offset(spark, monkeypatch):
-    """One passage in many texts, with shards smaller than its anchors' pieces."""
-    monkeypatch.setattr(op3_substring, "SHARD", 3000)
+@pytest.mark.parametrize("shard", [3000, 60])
+def test_heavy_anchors_are_split_by_offset(spark, monkeypatch, shard):
+    """One passage in many texts, with shards smaller than its anchors' pieces, or even than one offset's windows."""
+    monkeypatch.setattr(op3_substring, "SHARD", shard)
     rng = random.Random(4)
     word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     passage = word(700)
