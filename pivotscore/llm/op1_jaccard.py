@@ -14,8 +14,9 @@ after the deepest split is compared in blocks, so nothing is dropped.
 
 A bucket gives no list of pairs but a forest that connects its similar sets.
 The first ``FIRST`` runs go ahead; what they connect is a known group, and the
-other runs only add edges between groups, so a large group of copies gives
-its edges once and not in every run.
+other runs only add edges between groups: a bucket that holds one known group
+and nothing else is left out, neither split nor compared.  So a large group of
+copies gives its edges once and not in every run.
 The forests' components are the candidate groups; inside each, all pairs are
 checked exactly on the whole shingle sets, block by block for large groups,
 and give each set's number of links and again a forest.  So what is written
@@ -141,17 +142,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def split(nodes: DataFrame, run_numbers: range | None = None) -> DataFrame:
-    """(node, sid): one split of ``nodes(node, sid, sig)``, or the first one of each of the runs."""
+    """(node, sid, grp): one split of ``nodes(node, sid, sig, grp)``, or the first one of each of the runs."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs, ids = _matrix(b.column("sig")), b.column("sid")
+            sigs, ids, grp = _matrix(b.column("sig")), b.column("sid"), b.column("grp")
             for start in ([np.full(len(ids), r + 1, np.uint64) for r in run_numbers] if run_numbers
                           else [b.column("node").to_numpy().view(np.uint64)]):
                 at, child = chosen(start, sigs)
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), ids.take(pa.array(at))], names=["node", "sid"])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), ids.take(pa.array(at)), grp.take(pa.array(at))],
+                                                 names=["node", "sid", "grp"])
 
-    cols = ["sid", "sig"] if run_numbers else ["node", "sid", "sig"]
-    return nodes.select(*cols).mapInArrow(rows, "node long, sid binary")
+    cols = ["sid", "sig", "grp"] if run_numbers else ["node", "sid", "sig", "grp"]
+    return nodes.select(*cols).mapInArrow(rows, "node long, sid binary, grp long")
 
 
 def forest(n: int, pairs, known: tuple = ((), ())) -> list[tuple[int, int]]:
@@ -258,36 +260,37 @@ def compare(cells: DataFrame, threshold: float) -> DataFrame:
 def candidates(distinct: DataFrame, threshold: float) -> DataFrame:
     """(id, root): groups that hold the candidate pairs of ``distinct(sid, n, sig, mark)`` from all runs."""
     every = runs(threshold)
-    none = distinct.select("sid", "n", "mark", F.lit(0).cast("long").alias("grp"))
-    ahead = found_in(distinct, none, range(min(FIRST, every)), threshold)
+    ahead = found_in(distinct.withColumn("grp", F.lit(0).cast("long")), range(min(FIRST, every)), threshold)
     groups = cut(components(ahead))
     if every <= FIRST:
         return groups
     named = groups.select(F.col("id").alias("sid"), F.xxhash64("root").alias("grp"))
-    known = cut(distinct.select("sid", "n", "mark").join(named, "sid", "left").withColumn("grp", F.coalesce("grp", F.lit(0).cast("long"))))
-    later = found_in(distinct, known, range(FIRST, every), threshold)
+    known = cut(distinct.join(named, "sid", "left").withColumn("grp", F.coalesce("grp", F.lit(0).cast("long"))))
+    later = found_in(known, range(FIRST, every), threshold)
     return cut(components(ahead.unionByName(later)))
 
 
-def found_in(distinct: DataFrame, known: DataFrame, run_numbers: range, threshold: float) -> DataFrame:
-    """(a, b): forests of the candidate pairs of some runs, beyond the groups of ``known(sid, n, mark, grp)``."""
+def found_in(known: DataFrame, run_numbers: range, threshold: float) -> DataFrame:
+    """(a, b): forests of the candidate pairs of some runs, beyond the groups of ``known(sid, n, sig, mark, grp)``."""
     found = None
-    nodes = split(distinct, run_numbers)
+    nodes = split(known, run_numbers)
+    sets_ = known.select("sid", "n", "mark", "grp").hint("merge")
     for depth in range(1, DEEPEST + 1):
         nodes = cut(nodes).repartition("node")  # counted and looked up in one exchange
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+        sizes = (nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("grp").alias("low"), F.max("grp").alias("high"))
+                 .filter("members > 1 and not (low = high and low <> 0)").select("node", "members"))
         filled = cut(nodes.join(sizes.hint("merge"), "node"))
         small = filled.filter(F.col("members") <= LIMIT).select(F.col("node").alias("cell"), F.lit(-1).alias("side"), "sid")
-        got = cut(compare(small.join(known.hint("merge"), "sid"), threshold).distinct())
+        got = cut(compare(small.join(sets_, "sid"), threshold).distinct())
         found = got if found is None else found.unionByName(got)
         if not filled.filter(F.col("members") > LIMIT).limit(1).count():
             return cut(found.distinct())
         large = filled.filter(F.col("members") > LIMIT)
         if depth < DEEPEST:
-            nodes = split(large.join(distinct.hint("merge"), "sid").select("node", "sid", "sig"))
+            nodes = split(large.join(known.select("sid", "sig").hint("merge"), "sid").select("node", "sid", "sig", "grp"))
     # Still too large: every pair of blocks of such a bucket is a cell of its own.
     dealt = blocks(large, "node", F.col("members"), LIMIT)
-    found = found.unionByName(compare(dealt.select("cell", "side", "sid").join(known.hint("merge"), "sid"), threshold))
+    found = found.unionByName(compare(dealt.select("cell", "side", "sid").join(sets_, "sid"), threshold))
     return cut(found.distinct())
 
 
