@@ -374,6 +374,26 @@ def conv_scores_sql(body: str) -> str:
     return with_ctes(ctes, body)
 
 
+def word_edit_rate_sql() -> str:
+    """Word edit distance by anti-diagonals: cell i of diagonal d is the distance of i candidate and d - i original words."""
+    far = 1 << 30
+    step = (f"list_transform(range(0, len(h) + 1), lambda i: CASE WHEN d + 1 - i < 0 OR d + 1 - i > len(r) THEN {far} "
+            "WHEN i = 0 THEN d + 1 WHEN i = d + 1 THEN i "
+            "ELSE least(one[i] + 1, one[i + 1] + 1, two[i] + CASE WHEN h[i] = r[d + 1 - i] THEN 0 ELSE 1 END) END)")
+    low = "lower(coalesce({}, ''))"
+    body = f"""SELECT role, round(CASE WHEN sum(len(r)) > 0 THEN 100.0 * sum(edits) / sum(len(r)) WHEN sum(edits) > 0 THEN 100.0 ELSE 0.0 END, 4)
+ AS word_edit_rate FROM p JOIN e USING (id) GROUP BY role"""
+    return "WITH RECURSIVE " + ",\n".join([
+        "cp AS (SELECT c.role, c.text AS original, n.text AS candidate FROM conversations c "
+        "JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1)",
+        f"p AS MATERIALIZED (SELECT row_number() OVER () AS id, role, {words_sql(low.format('candidate'))} AS h, "
+        f"{words_sql(low.format('original'))} AS r FROM cp)",
+        "t(id, d, two, one) AS (SELECT id, 0::BIGINT, []::BIGINT[], "
+        f"list_transform(range(0, len(h) + 1), lambda i: CASE WHEN i = 0 THEN 0 ELSE {far} END) FROM p "
+        f"UNION ALL SELECT t.id, d + 1, one, {step} FROM t JOIN p ON p.id = t.id WHERE d < len(h) + len(r))",
+        "e AS (SELECT t.id, one[len(h) + 1] AS edits FROM t JOIN p ON p.id = t.id WHERE d = len(h) + len(r))"]) + "\n" + body
+
+
 def embedding_cosine_sql() -> str:
     a = "CAST(a AS DOUBLE[])"
     b = "CAST(b AS DOUBLE[])"

@@ -490,7 +490,7 @@ from .functions import pvalues  # noqa: E402
 from .operators import ter as TER  # noqa: E402
 
 
-@register("word_edit_rate")
+@register("word_edit_rate", TS.word_edit_rate_sql())
 def q_word_edit_rate(spark, sf):
     return TER.corpus_word_edit_rate(tables.conversation_pairs(spark, sf), "original", "candidate", ["role"])
 
