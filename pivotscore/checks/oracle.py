@@ -357,3 +357,53 @@ def labels_sql(overrides: dict, metric_rows: list[tuple]) -> str:
     return with_(BASE + [f"ov(k, o) AS (VALUES {ov})", "fk AS (SELECT DISTINCT family AS k FROM piv)"],
                  f"SELECT 'family' AS kind, k, coalesce(o, {initcap}) AS label FROM fk LEFT JOIN ov USING (k) "
                  f"UNION ALL {mets}")
+
+
+# ---- p-values: the regularised incomplete beta function by its continued fraction ---- #
+
+#: Terms of the fraction; it settles after some square root of the degrees of freedom.
+TERMS = 400
+STARS = "CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END"
+
+
+def betainc_ctes(src: str) -> list[str]:
+    """CTE ``bi``(id, value): I_x(a, b) of the rows of ``src``(id, a, b, x) with 0 < x < 1."""
+    # Term k + 1, with m its half rounded down.
+    d = ("CASE WHEN k % 2 = 0 THEN -(u + m) * (u + v + m) * y / ((u + 2 * m) * (u + 2 * m + 1)) "
+         "ELSE m * (v - m) * y / ((u + 2 * m - 1) * (u + 2 * m)) END")
+    return [
+        f"bs AS MATERIALIZED (SELECT id, x <= a / (a + b) AS below, CASE WHEN x <= a / (a + b) THEN a ELSE b END AS u, "
+        f"CASE WHEN x <= a / (a + b) THEN b ELSE a END AS v, CASE WHEN x <= a / (a + b) THEN x ELSE 1 - x END AS y FROM {src})",
+        "bf(id, k, p0, q0, p1) AS (SELECT id, 0, 0.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE FROM bs UNION ALL "
+        "SELECT id, k + 1, p1 / q, 1.0 / q, p / q FROM (SELECT id, k, p1, p1 + d * p0 AS p, 1.0 + d * q0 AS q FROM "
+        f"(SELECT f.*, {d} AS d FROM (SELECT bf.*, u, v, y, (k + 1) // 2 AS m FROM bf JOIN bs USING (id) WHERE k < {TERMS}) f)))",
+        "bi AS (SELECT id, CASE WHEN below THEN t ELSE 1 - t END AS value FROM (SELECT id, below, "
+        "exp(lgamma(u + v) - lgamma(u) - lgamma(v) + u * ln(y) + v * ln(1 - y)) * p1 / u AS t "
+        f"FROM bf JOIN bs USING (id) WHERE k = {TERMS}))"]
+
+
+def anova_p_sql() -> str:
+    """One-way ANOVA of bleu by family and by domain, with its p-value (10 digits) and its mark."""
+    both = " UNION ALL ".join(f"SELECT translator, '{f}' AS factor, n, k, ssb, ssw FROM {c}" for f, c in (("family", "fa"), ("domain", "da")))
+    ctes = [*BASE, *anova_raw("fa", "cells", "family", "bleu", ["translator"]), *anova_raw("da", "cells", "domain", "bleu", ["translator"]),
+            f"s AS MATERIALIZED (SELECT row_number() OVER () AS id, *, {F_STAT} AS f FROM ({both}))",
+            "src AS (SELECT id, (n - k) / 2.0 AS a, (k - 1) / 2.0 AS b, (n - k) / ((n - k) + (k - 1) * f) AS x FROM s WHERE f > 0 AND k > 1 AND n > k)",
+            *betainc_ctes("src"),
+            "t AS (SELECT s.*, CASE WHEN f IS NULL OR k <= 1 OR n <= k THEN 'nan'::DOUBLE WHEN f <= 0 THEN 1.0 ELSE value END AS p "
+            "FROM s LEFT JOIN bi USING (id))"]
+    return with_(ctes, f"SELECT translator, factor, 'bleu' AS metric, round(f, 4) AS \"F\", round(p, 10) AS p, CAST(k - 1 AS INTEGER) AS df_between, "
+                 f"CAST(n - k AS INTEGER) AS df_within, round(ssb, 6) AS ss_between, round(ssw, 6) AS ss_within, round(ssb + ssw, 6) AS ss_total, "
+                 f"round({ETA2}, 6) AS eta_squared, {STARS} AS sig FROM t").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def corr_pvalues_sql() -> str:
+    """Pearson r per backend and pooled, with its two-sided p-value (10 digits) and its mark."""
+    parts = [f"SELECT CASE WHEN grouping(translator) = 1 THEN 'pooled' ELSE translator END AS scope, '{a}~{b}' AS pair, "
+             f"round(corr({a}, {b}), 6) AS r, count(*) AS n FROM cells WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ROLLUP (translator)"
+             for a, b in CORR_PAIRS]
+    ctes = [*BASE, f"s AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM ({' UNION ALL '.join(parts)}))",
+            "src AS (SELECT id, n / 2.0 - 1 AS a, 0.5::DOUBLE AS b, 1 - r * r AS x FROM s WHERE n >= 3 AND abs(r) < 1 AND r <> 0)",
+            *betainc_ctes("src"),
+            "t AS (SELECT s.*, CASE WHEN r IS NULL OR isnan(r) OR n < 3 THEN 'nan'::DOUBLE WHEN abs(r) >= 1 THEN 0.0 WHEN r = 0 THEN 1.0 "
+            "ELSE value END AS p FROM s LEFT JOIN bi USING (id))"]
+    return with_(ctes, f"SELECT scope, pair, r, n, round(p, 10) AS p, {STARS} AS sig FROM t").replace("WITH ", "WITH RECURSIVE ", 1)

@@ -522,18 +522,18 @@ def q_round_trip_metrics(spark, sf):
                         CacheStore.fresh(spark), with_ter=True)
 
 
-@register("anova_p")
+@register("anova_p", O.anova_p_sql())
 def q_anova_p(spark, sf):
     c = _cells_once(spark, sf)
     a = stats.anova(c, "family", "bleu").unionByName(stats.anova(c, "domain", "bleu"))
-    return a.withColumn("sig", pvalues.stars(F.col("p")))
+    return a.withColumn("sig", pvalues.stars(F.col("p"))).withColumn("p", F.round("p", 10))
 
 
-@register("corr_pvalues")
+@register("corr_pvalues", O.corr_pvalues_sql())
 def q_corr_pvalues(spark, sf):
     r = relate.corr_pooled(_cells_once(spark, sf), O.CORR_PAIRS)
     return r.withColumn("p", pvalues.r_pvalue(F.col("r"), F.col("n").cast("double"))) \
-        .withColumn("sig", pvalues.stars(F.col("p")))
+        .withColumn("sig", pvalues.stars(F.col("p"))).withColumn("p", F.round("p", 10))
 
 
 # ---- cache state against a seeded cache ---------------------------------------- #
