@@ -9,7 +9,7 @@ FAST = ["headline", "anova_family", "variance_decomposition", "eta2_all_metrics"
         "corr_pooled", "spearman_cells", "kendall_tau", "box_stats", "long_to_wide", "zscore_cells",
         "family_bands", "display_labels", "code_map", "load_sentences", "request_keys", "corpus_bleu",
         "lexical_cosine", "embedding_cosine", "length_profile", "exact_dups", "near_dups",
-        "register_markers", "union_integrity"]
+        "register_markers", "union_integrity", "word_edit_rate", "anova_p", "corr_pvalues"]
 
 
 @pytest.fixture(scope="module")
