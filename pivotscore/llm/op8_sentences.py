@@ -36,13 +36,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, cut
-from .op1_jaccard import mix
+from .op1_jaccard import marked, mix
 from .op3_substring import powers
 
 WORDS = re.compile(WORD)
 SENTENCES, LEAST, ENOUGH = 3, 15, 50
 GRAM = 25
-_END = re.compile(r"\n+|(?<=[.!?])[\x20\t\x0b-\r]+")
+#: Kinds with more than one in so many of the rows are joined by broadcast.
+SHARES = 1000
+_END = re.compile(r"\n+|[.!?][\x20\t\x0b-\r]+")
 
 
 def sentences(text: str) -> list[str]:
@@ -75,60 +77,31 @@ def sentences(text: str) -> list[str]:
 def runs(words: np.ndarray) -> list[tuple[int, int]]:
     """(start, end) of the runs over sentences of so many words, end exclusive."""
     n = len(words)
-    before = np.concatenate([[0], np.cumsum(words)])
+    before = np.zeros(n + 1, np.int64)
+    np.cumsum(words, out=before[1:])
     at = np.arange(n)
     # Forward: the least end with enough words, and with enough sentences and words.
     many = np.searchsorted(before, before[:-1] + ENOUGH)
     some = np.maximum(np.searchsorted(before, before[:-1] + LEAST), at + SENTENCES)
     end = np.minimum(many, some)
-    found = {(int(i), int(e)) for i, e in zip(at, end, strict=True) if e <= n}
     # Backward: the greatest start likewise.
     many = np.searchsorted(before, before[1:] - ENOUGH, side="right") - 1
     some = np.minimum(np.searchsorted(before, before[1:] - LEAST, side="right") - 1, at + 1 - SENTENCES)
     start = np.maximum(many, some)
-    found |= {(int(i), int(e) + 1) for i, e in zip(start, at, strict=True) if i >= 0}
-    return sorted(found)
+    ahead, back = end <= n, start >= 0
+    found = np.unique(np.concatenate([at[ahead] * (n + 1) + end[ahead], start[back] * (n + 1) + at[back] + 1]))
+    return list(zip((found // (n + 1)).tolist(), (found % (n + 1)).tolist(), strict=True))
 
 
-def _text_key() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+class Hashes(dict):
+    """64-bit hashes of the words seen in a batch."""
 
+    def __missing__(self, word: str) -> int:
+        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        return got
 
-def spans(docs: DataFrame) -> DataFrame:
-    """(h, g, doc_id, key, s, e): every run of every text with its hash in two halves."""
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hashes, who, starts, ends = [], [], [], []
-            for k, t in enumerate(b.column("text").to_pylist()):
-                split = [WORDS.findall(s) for s in sentences(t or "")]
-                found = runs(np.array([len(w) for w in split], np.int64)) if split else []
-                lines = [" ".join(w) for w in split]
-                for s, e in found:
-                    hashes.append(xxhash.xxh3_128_digest(" ".join(lines[s:e])))
-                    starts.append(s), ends.append(e), who.append(k)
-            both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            take = pa.array(who, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), b.column("doc_id").take(take), b.column("key").take(take),
-                                              pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["h", "g", "doc_id", "key", "s", "e"])
-
-    return docs.select(F.col("doc_id").cast("long"), _text_key().alias("key"), "text").mapInArrow(rows, "h long, g long, doc_id long, key long, s int, e int")
-
-
-def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, cover): for each text with any, its non-first occurrences of repeated runs as (s, e)."""
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "s")
-    first = (spans(docs).groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-             .filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last"))
-    first = cut(first)
-    later = (spans(docs).join(first, ["h", "g"]).filter(~place.eqNullSafe(F.col("first")))
-             .groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "e")).alias("cover")))  # bounded by one text's runs
-    return cut(later)
-
-
-def word_hashes(text: str) -> np.ndarray:
-    known: dict[str, int] = {}
-    found = WORDS.findall(text)
-    return np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in found), np.uint64, len(found))
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,6 +119,14 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, np.r_[first[1:], len(q)], grams[q[first]]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
+
+
+def _place() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "s")
+
+
 _PLACED = "h long, g long, doc_id long, key long, s int, e int"
 
 
@@ -156,58 +137,108 @@ def _placed(b: pa.RecordBatch, who: list, hashes: list, starts: list, ends: list
             pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """(anchor, h, g, doc_id, key, s, e): every piece with the hash of its words; its windows start in [s, e)."""
+def marks(docs: DataFrame) -> DataFrame:
+    """(anchor, h, g, doc_id, key, s, e): every run and every piece of every text with the hash of its words.
+
+    A run has no anchor and holds the sentences [s, e); a piece's windows
+    start at the words [s, e).  Each text is split once for both.
+    """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            who, hashes, starts, ends, marks = [], [], [], [], [np.zeros(0, np.uint64)]
+            known, who, hashes, starts, ends, marks_ = Hashes(), [], [], [], [], []
             for k, t in enumerate(b.column("text").to_pylist()):
-                h = word_hashes(t or "")
-                first, end, anchor = anchors(h)
-                marks.append(anchor)
-                for s, e in zip(first.tolist(), end.tolist(), strict=True):
-                    hashes.append(xxhash.xxh3_128_digest(h[s:e - 1 + ENOUGH].tobytes()))
-                    who.append(k), starts.append(s), ends.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks).view(np.int64)), *_placed(b, who, hashes, starts, ends)],
-                                             names=["anchor", "h", "g", "doc_id", "key", "s", "e"])
-
-    return docs.select(F.col("doc_id").cast("long"), _text_key().alias("key"), "text").mapInArrow(rows, "anchor long, " + _PLACED)
+                words, edge = [], [0]
+                for p in sentences(t or ""):
+                    words += WORDS.findall(p)
+                    edge.append(len(words))
+                h = known.of(words)
+                raw = h.tobytes()
+                found = runs(np.diff(edge)) if words else []
+                hashes += [xxhash.xxh3_128_digest(raw[8 * edge[s]:8 * edge[e]]) for s, e in found]
+                starts += [s for s, _ in found]
+                ends += [e for _, e in found]
+                marks_ += [None] * len(found)
+                first, end, anchor = (x.tolist() for x in anchors(h))
+                hashes += [xxhash.xxh3_128_digest(raw[8 * s:8 * (e - 1 + ENOUGH)]) for s, e in zip(first, end, strict=True)]
+                starts += first
+                ends += end
+                marks_ += anchor
+                who += [k] * (len(found) + len(first))
+            anchor = pa.array(marks_, pa.uint64()).view(pa.int64())
+            yield pa.RecordBatch.from_arrays([anchor, *_placed(b, who, hashes, starts, ends)], names=["anchor", "h", "g", "doc_id", "key", "s", "e"])
+
+    return _keyed(docs).mapInArrow(rows, "anchor long, " + _PLACED)
+
+
+def met(rows: DataFrame, kinds: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined to ``kinds(*on, n, ...)``, n being the number of a kind's rows; hot kinds don't meet in one task.
+
+    Kinds of more than one in ``SHARES`` of the rows, so fewer than that many, are broadcast.
+    """
+    least = rows.count() / SHARES
+    hot = F.broadcast(kinds.filter(F.col("n") > least))
+    others = rows.join(hot.select(*on), on, "left_anti").join(kinds.filter(F.col("n") <= least), on)
+    return rows.join(hot, on).unionByName(others).drop("n")
+
+
+def repeated(found: DataFrame) -> DataFrame:
+    """(doc_id, key, cover): for each text with any, its non-first occurrences of repeated runs of ``found`` as (s, e)."""
+    place = _place()
+    first = cut(found.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
+                .filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last"))
+    later = (met(found, first, ["h", "g"]).filter(~place.eqNullSafe(F.col("first")))
+             .groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "e")).alias("cover")))  # bounded by one text's runs
+    return cut(later)
 
 
 def windows(texts: DataFrame) -> DataFrame:
     """(h, g, doc_id, key, s, e): the windows that start in the ``parts`` of ``texts(doc_id, key, text, parts)``."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            who, hashes, starts = [], [], []
+            known, who, hashes, starts = Hashes(), [], [], []
             for k, (t, parts) in enumerate(zip(b.column("text").to_pylist(), b.column("parts").to_pylist(), strict=True)):
-                h = word_hashes(t or "")
+                raw = known.of(WORDS.findall(t or "")).tobytes()
                 for s in (s for x in parts for s in range(x["s"], x["e"])):
-                    hashes.append(xxhash.xxh3_128_digest(h[s:s + ENOUGH].tobytes()))
+                    hashes.append(xxhash.xxh3_128_digest(raw[8 * s:8 * (s + ENOUGH)]))
                     who.append(k), starts.append(s)
             yield pa.RecordBatch.from_arrays(_placed(b, who, hashes, starts, [s + 1 for s in starts]), names=["h", "g", "doc_id", "key", "s", "e"])
 
     return texts.mapInArrow(rows, _PLACED)
 
 
-def repeated_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, words): for each text with any, the starts [s, e) of its windows that are not the first of their kind."""
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "s")
-    often = cut(pieces(docs).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
-    some = cut(pieces(docs).join(often, "anchor"))
-    kinds = cut(some.groupBy("anchor", "h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min(F.expr("e - s")).alias("size")))
-    again = kinds.filter(~F.col("first").eqNullSafe(F.col("last"))).select("h", "g", "first")
-    whole = some.join(again, ["h", "g"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "key", "s", "e")
+def with_keys(docs: DataFrame, asked: DataFrame, how: str) -> DataFrame:
+    """(doc_id, key, text) of ``docs`` joined to ``asked(doc_id, key, ...)``; other texts are not shuffled.
+
+    A filter of set size leaves them out before the join; with ``how`` "left" they are added again.
+    """
+    name = F.xxhash64("doc_id", "key").alias("rk")
+    texts = marked(_keyed(docs).select("*", name), asked.select(name))
+    more = asked.withColumnRenamed("doc_id", "d").withColumnRenamed("key", "k")
+    near = texts.filter("likely").drop("likely", "rk")
+    got = near.join(more.hint("merge"), near.doc_id.eqNullSafe(more.d) & (near.key == more.k), how).drop("d", "k")
+    return got if how == "inner" else got.unionByName(texts.filter("not likely").drop("likely", "rk"), allowMissingColumns=True)
+
+
+def repeated_words(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, key, words): for each text with any, the starts [s, e) of its windows that are not the first of their kind.
+
+    ``found`` holds the pieces of ``docs``.
+    """
+    place = _place()
+    often = cut(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    some = cut(met(found, often, ["anchor"]))
+    kinds = cut(some.groupBy("anchor", "h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min(F.expr("e - s")).alias("size"),
+                                                     F.count(F.lit(1)).alias("n")))
+    again = kinds.filter(~F.col("first").eqNullSafe(F.col("last"))).select("anchor", "h", "g", "first", "n")
+    whole = met(some, again, ["anchor", "h", "g"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "key", "s", "e")
     # Different pieces of one anchor may share windows; the first place of each piece stands for all of its places.
-    mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    ask = (kinds.join(mixed, "anchor").select("first.doc_id", "first.key", "first.s", (F.col("first.s") + F.col("size")).alias("e"))
+    mixed = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    ask = (met(kinds.drop("n"), mixed, ["anchor"]).select("first.doc_id", "first.key", "first.s", (F.col("first.s") + F.col("size")).alias("e"))
            .groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "e")).alias("parts")))  # bounded by one text's pieces
-    ask = ask.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "parts")
-    keyed = docs.select(F.col("doc_id").cast("long"), _text_key().alias("key"), "text")
-    texts = keyed.join(ask, keyed.doc_id.eqNullSafe(ask.d) & (keyed.key == ask.k)).select("doc_id", "key", "text", "parts")
-    single = cut(windows(texts))
-    first = (single.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-             .filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last"))
-    later = single.join(first, ["h", "g"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "key", "s", "e")
+    single = cut(windows(with_keys(docs, cut(ask), "inner")))
+    first = cut(single.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
+                .filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last"))
+    later = met(single, first, ["h", "g"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "key", "s", "e")
     return cut(whole.unionByName(later).groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "e")).alias("words")))  # bounded likewise
 
 
@@ -219,19 +250,25 @@ def left(text: str, runs_: list, starts: list) -> tuple[int, list[int], str]:
         out[x["s"]:x["e"]] = True
     if not starts:
         return len(parts), np.flatnonzero(out).tolist(), "".join(p for p, o in zip(parts, out, strict=True) if not o)
-    spans_ = [[m.span() for m in WORDS.finditer(p)] for p in parts]
-    edge = np.zeros(sum(map(len, spans_)) + 1, np.int64)
+    sizes = [len(WORDS.findall(p)) for p in parts]
+    edge = np.zeros(sum(sizes) + 1, np.int64)
     for x in starts:
         edge[x["s"]] += 1
         edge[x["e"] - 1 + ENOUGH] -= 1
     gone, at, kept = np.cumsum(edge)[:-1] > 0, 0, []
-    for k, (p, ws) in enumerate(zip(parts, spans_, strict=True)):
-        mine = gone[at:at + len(ws)]
-        at += len(ws)
-        out[k] |= len(ws) > 0 and mine.all()
-        if not out[k]:  # a word goes with the blanks after it
-            ends = [s for s, _ in ws[1:]] + [len(p)]
-            kept += [p[:ws[0][0]] if ws else p, *(p[s:e] for (s, _), e, g in zip(ws, ends, mine.tolist(), strict=True) if not g)]
+    for k, (p, size) in enumerate(zip(parts, sizes, strict=True)):
+        mine = gone[at:at + size]
+        at += size
+        n_gone = int(mine.sum())
+        out[k] |= 0 < size == n_gone
+        if out[k]:
+            continue
+        if not n_gone:
+            kept.append(p)
+            continue
+        # A word goes with the blanks after it.
+        begins = [m.start() for m in WORDS.finditer(p)]
+        kept += [p[:begins[0]], *(p[s:e] for s, e, g in zip(begins, [*begins[1:], len(p)], mine.tolist(), strict=True) if not g)]
     return len(parts), np.flatnonzero(out).tolist(), "".join(kept)
 
 
@@ -241,8 +278,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     ``removed`` lists the numbers, from 0, of the sentences removed whole;
     of a sentence cut by the end of a passage only the other words stay.
     """
-    keyed = docs.select(F.col("doc_id").cast("long"), _text_key().alias("key"), "text")
-    runs_, words = repeated(docs), repeated_words(docs)
+    found = cut(marks(docs))
+    runs_, words = repeated(found.filter("anchor is null").drop("anchor")), repeated_words(docs, found.filter("anchor is not null"))
     cover = (runs_.withColumn("words", F.lit(None).cast(words.schema["words"].dataType))
              .unionByName(words.withColumn("cover", F.lit(None).cast(runs_.schema["cover"].dataType)))
              .groupBy("doc_id", "key").agg(F.first("cover", True).alias("cover"), F.first("words", True).alias("words")))
@@ -255,6 +292,5 @@ def dedup(docs: DataFrame) -> DataFrame:
                                               pa.array([hashlib.sha256(k.encode()).hexdigest() for _, _, k in got], pa.string())],
                                              names=["doc_id", "n_sentences", "n_removed", "removed", "text", "kept_sha256"])
 
-    hit = cover.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "cover", "words")
-    return (keyed.join(hit, keyed.doc_id.eqNullSafe(hit.d) & (keyed.key == hit.k), "left").select("doc_id", "text", "cover", "words")
+    return (with_keys(docs, cut(cover), "left").select("doc_id", "text", "cover", "words")
             .mapInArrow(rows, "doc_id long, n_sentences long, n_removed long, removed array<int>, text string, kept_sha256 string"))
