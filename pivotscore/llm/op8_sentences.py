@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +41,10 @@ from .op1_jaccard import marked, mix
 from .op3_substring import powers
 
 WORDS = re.compile(WORD)
+_BLANK = " \t\n\x0b\x0c\r"
 SENTENCES, LEAST, ENOUGH = 3, 15, 50
 GRAM = 25
-#: Kinds with more than one in so many of the rows are joined by broadcast.
+#: Kinds with more than one in so many of the rows are dealt over several tasks.
 SHARES = 1000
 _END = re.compile(r"\n+|[.!?][\x20\t\x0b-\r]+")
 
@@ -57,15 +59,15 @@ def sentences(text: str) -> list[str]:
     for m in _END.finditer(text):
         part = text[at:m.end()]
         at = m.end()
-        if part.strip(" \t\n\x0b\x0c\r"):
-            out.append(ahead + part)
+        if part[0] not in _BLANK or part.strip(_BLANK):
+            out.append(ahead + part if ahead else part)
             ahead = ""
         elif out:
             out[-1] += part
         else:
             ahead += part
     if at < len(text):
-        if text[at:].strip(" \t\n\x0b\x0c\r") or not out:
+        if text[at:].strip(_BLANK) or not out:
             out.append(ahead + text[at:])
         else:
             out[-1] += text[at:]
@@ -74,6 +76,11 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+def words_of(text: str) -> list[bytes]:
+    """The words as UTF-8: bytes are split at just the blanks that end a word."""
+    return text.encode().split()
+
+
 def runs(words: np.ndarray) -> list[tuple[int, int]]:
     """(start, end) of the runs over sentences of so many words, end exclusive."""
     n = len(words)
@@ -94,13 +101,17 @@ def runs(words: np.ndarray) -> list[tuple[int, int]]:
 
 
 class Hashes(dict):
-    """64-bit hashes of the words seen in a batch."""
+    """64-bit hashes of words; ``MOST`` of them are remembered from text to text."""
 
-    def __missing__(self, word: str) -> int:
+    MOST = 200_000
+
+    def __missing__(self, word: bytes) -> int:
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.MOST:
+            self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
@@ -144,12 +155,13 @@ def marks(docs: DataFrame) -> DataFrame:
     start at the words [s, e).  Each text is split once for both.
     """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
         for b in batches:
-            known, who, hashes, starts, ends, marks_ = Hashes(), [], [], [], [], []
+            who, hashes, starts, ends, marks_ = [], [], [], [], []
             for k, t in enumerate(b.column("text").to_pylist()):
                 words, edge = [], [0]
                 for p in sentences(t or ""):
-                    words += WORDS.findall(p)
+                    words += words_of(p)
                     edge.append(len(words))
                 h = known.of(words)
                 raw = h.tobytes()
@@ -173,12 +185,14 @@ def marks(docs: DataFrame) -> DataFrame:
 def met(rows: DataFrame, kinds: DataFrame, on: list[str]) -> DataFrame:
     """``rows`` joined to ``kinds(*on, n, ...)``, n being the number of a kind's rows; hot kinds don't meet in one task.
 
-    Kinds of more than one in ``SHARES`` of the rows, so fewer than that many, are broadcast.
+    A kind of more than one in ``SHARES`` of the rows is dealt over so many
+    more tasks.  Fewer than ``SHARES`` kinds are, so their list is broadcast.
     """
-    least = rows.count() / SHARES
-    hot = F.broadcast(kinds.filter(F.col("n") > least))
-    others = rows.join(hot.select(*on), on, "left_anti").join(kinds.filter(F.col("n") <= least), on)
-    return rows.join(hot, on).unionByName(others).drop("n")
+    total = kinds.agg(F.sum("n")).first()[0] or 1
+    ways = F.ceil(F.col("n") * SHARES / total).cast("long")
+    hot = F.broadcast(kinds.select(*on, ways.alias("ways")).filter("ways > 1"))
+    dealt = rows.join(hot, on, "left").withColumn("way", F.pmod(F.xxhash64(*rows.columns), F.coalesce("ways", F.lit(1)))).drop("ways")
+    return dealt.join(kinds.withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), ways - 1))), [*on, "way"]).drop("way", "n")
 
 
 def repeated(found: DataFrame) -> DataFrame:
@@ -194,10 +208,11 @@ def repeated(found: DataFrame) -> DataFrame:
 def windows(texts: DataFrame) -> DataFrame:
     """(h, g, doc_id, key, s, e): the windows that start in the ``parts`` of ``texts(doc_id, key, text, parts)``."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
         for b in batches:
-            known, who, hashes, starts = Hashes(), [], [], []
+            who, hashes, starts = [], [], []
             for k, (t, parts) in enumerate(zip(b.column("text").to_pylist(), b.column("parts").to_pylist(), strict=True)):
-                raw = known.of(WORDS.findall(t or "")).tobytes()
+                raw = known.of(words_of(t or "")).tobytes()
                 for s in (s for x in parts for s in range(x["s"], x["e"])):
                     hashes.append(xxhash.xxh3_128_digest(raw[8 * s:8 * (s + ENOUGH)]))
                     who.append(k), starts.append(s)
@@ -242,24 +257,34 @@ def repeated_words(docs: DataFrame, found: DataFrame) -> DataFrame:
     return cut(whole.unionByName(later).groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "e")).alias("words")))  # bounded likewise
 
 
-def left(text: str, runs_: list, starts: list) -> tuple[int, list[int], str]:
+def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of 0..n-1 lie in one of the [start, end)."""
+    return np.cumsum(np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:n] > 0
+
+
+def ranges(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The starts and ends in each row's list of (s, e); none for null."""
+    flat = column.flatten()
+    s, e = flat.field("s").to_numpy(), flat.field("e").to_numpy()
+    at = 0
+    for n in pc.fill_null(pc.list_value_length(column), 0).to_pylist():
+        yield s[at:at + n], e[at:at + n]
+        at += n
+
+
+def left(text: str, runs_: tuple[np.ndarray, np.ndarray], windows_: tuple[np.ndarray, np.ndarray]) -> tuple[int, list[int], str]:
     """Number of sentences, numbers of those that go whole, and the text that stays."""
     parts = sentences(text)
-    out = np.zeros(len(parts), bool)
-    for x in runs_:
-        out[x["s"]:x["e"]] = True
-    if not starts:
-        return len(parts), np.flatnonzero(out).tolist(), "".join(p for p, o in zip(parts, out, strict=True) if not o)
-    sizes = [len(WORDS.findall(p)) for p in parts]
-    edge = np.zeros(sum(sizes) + 1, np.int64)
-    for x in starts:
-        edge[x["s"]] += 1
-        edge[x["e"] - 1 + ENOUGH] -= 1
-    gone, at, kept = np.cumsum(edge)[:-1] > 0, 0, []
-    for k, (p, size) in enumerate(zip(parts, sizes, strict=True)):
+    out = covered(len(parts), *runs_) if len(runs_[0]) else np.zeros(len(parts), bool)
+    if not len(windows_[0]):
+        return len(parts), np.flatnonzero(out).tolist(), "".join(p for p, o in zip(parts, out.tolist(), strict=True) if not o)
+    sizes = [len(words_of(p)) for p in parts]
+    starts, ends = windows_
+    gone, at, kept = covered(sum(sizes), starts, ends - 1 + ENOUGH), 0, []
+    n_gone_in = np.diff(np.concatenate([[0], np.cumsum(gone)])[np.concatenate([[0], np.cumsum(sizes)])]).tolist()
+    for k, (p, size, n_gone) in enumerate(zip(parts, sizes, n_gone_in, strict=True)):
         mine = gone[at:at + size]
         at += size
-        n_gone = int(mine.sum())
         out[k] |= 0 < size == n_gone
         if out[k]:
             continue
@@ -286,7 +311,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [left(t or "", c or [], w or []) for t, c, w in zip(*(b.column(x).to_pylist() for x in ("text", "cover", "words")), strict=True)]
+            got = [left(t or "", c, w) for t, c, w in zip(b.column("text").to_pylist(), ranges(b.column("cover")), ranges(b.column("words")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for n, _, _ in got], pa.int64()), pa.array([len(g) for _, g, _ in got], pa.int64()),
                                               pa.array([g for _, g, _ in got], pa.list_(pa.int32())), pa.array([k for _, _, k in got], pa.string()),
                                               pa.array([hashlib.sha256(k.encode()).hexdigest() for _, _, k in got], pa.string())],

@@ -58,3 +58,11 @@ def test_windows_alone_are_cut_exactly(spark):
         rows.append((d, " ".join([f"a{d}", f"b{d}", *base[a:b], *base[b // 2:b // 2 + 60], f"c{d}"])))
     got = {r.doc_id: r.text.split() for r in op8_sentences.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == uncovered(rows)
+
+
+def test_hot_kinds_are_dealt_without_loss(spark):
+    rows = [(k % 7 if k % 3 else 99, k) for k in range(3000)]  # a third of the rows has one key
+    df = spark.createDataFrame(rows, "h long, s int")
+    kinds = df.groupBy("h").count().withColumnRenamed("count", "n").filter("h <> 5")
+    got = sorted(tuple(r) for r in op8_sentences.met(df, kinds.withColumn("first", kinds.h * 2), ["h"]).select("h", "s", "first").collect())
+    assert got == sorted((h, s, 2 * h) for h, s in rows if h != 5)
