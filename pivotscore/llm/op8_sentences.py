@@ -100,19 +100,8 @@ def runs(words: np.ndarray) -> list[tuple[int, int]]:
     return list(zip((found // (n + 1)).tolist(), (found % (n + 1)).tolist(), strict=True))
 
 
-class Hashes(dict):
-    """64-bit hashes of words; ``MOST`` of them are remembered from text to text."""
-
-    MOST = 200_000
-
-    def __missing__(self, word: bytes) -> int:
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.MOST:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,7 +144,6 @@ def marks(docs: DataFrame) -> DataFrame:
     start at the words [s, e).  Each text is split once for both.
     """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
         for b in batches:
             who, hashes, starts, ends, marks_ = [], [], [], [], []
             for k, t in enumerate(b.column("text").to_pylist()):
@@ -163,7 +151,7 @@ def marks(docs: DataFrame) -> DataFrame:
                 for p in sentences(t or ""):
                     words += words_of(p)
                     edge.append(len(words))
-                h = known.of(words)
+                h = hashes_of(words)
                 raw = h.tobytes()
                 found = runs(np.diff(edge)) if words else []
                 hashes += [xxhash.xxh3_128_digest(raw[8 * edge[s]:8 * edge[e]]) for s, e in found]
@@ -208,11 +196,10 @@ def repeated(found: DataFrame) -> DataFrame:
 def windows(texts: DataFrame) -> DataFrame:
     """(h, g, doc_id, key, s, e): the windows that start in the ``parts`` of ``texts(doc_id, key, text, parts)``."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
         for b in batches:
             who, hashes, starts = [], [], []
             for k, (t, parts) in enumerate(zip(b.column("text").to_pylist(), b.column("parts").to_pylist(), strict=True)):
-                raw = known.of(words_of(t or "")).tobytes()
+                raw = hashes_of(words_of(t or "")).tobytes()
                 for s in (s for x in parts for s in range(x["s"], x["e"])):
                     hashes.append(xxhash.xxh3_128_digest(raw[8 * s:8 * (s + ENOUGH)]))
                     who.append(k), starts.append(s)
