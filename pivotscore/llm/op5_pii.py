@@ -240,12 +240,19 @@ def made_up(count: int = 160, seed: int = 3) -> list[tuple[str, list[Span]]]:
         sep = rng.choice(["", "", " ", "-"])
         return sep.join((body + d)[k:k + 4] for k in range(0, 16, 4))
 
+    def failing() -> str:
+        """A number of a card's length and form that fails the checksum."""
+        body = num(rng.choice([15, 15, 15, 16, 17, 18]))
+        d = rng.choice([c for c in "0123456789" if not luhn(body + c)])
+        sep = rng.choice(["", "", " ", "-"])
+        return sep.join((body + d)[k:k + 4] for k in range(0, len(body) + 1, 4))
+
     def phone() -> str:
         return rng.choice([f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(4)} {num(3)}", f"+1-{num(3)}-{num(3)}-{num(4)}",
                            f"({num(3)}) {num(3)}-{num(4)}"])
 
     def one() -> tuple[str | None, str]:
-        kind = rng.choice([*KINDS, None, None])
+        kind = rng.choice([*KINDS, None, None, "fails"])
         if kind == "email":
             return kind, f"{word(5)}{rng.choice(['.', '_', ''])}{num(2)}@{word(6)}{rng.choice(['', num(1)])}.{rng.choice(['com', 'org', 'example.com'])}"
         if kind == "ip":
@@ -254,6 +261,8 @@ def made_up(count: int = 160, seed: int = 3) -> list[tuple[str, list[Span]]]:
             return kind, card()
         if kind == "phone":
             return kind, phone()
+        if kind == "fails":
+            return None, failing()
         return None, rng.choice([num(rng.randint(1, 15)), f"{num(1)}.{num(1)}", f"{num(1)}.{num(1)}.{num(1)}", "20" + num(2), f"{num(2)}%",
                                  f"{word(4)}={word(1)}{num(3)}{word(2)}{num(2)}", word(2) + num(3) + word(1) + num(8), "AKIA" + num(2) + "XQ" + num(4),
                                  f"{num(4)}.{num(4)}.{num(4)}.{num(4)}", f"{num(4)}-{num(2)}-{num(2)}", f"@{word(5)}", f"{num(3)},{num(3)},{num(3)},{num(3)}"])
