@@ -6,7 +6,9 @@ learns how a point's neighbours spread over the parts.  Every vector goes to
 its most probable part; a query is sent to its several most probable parts
 and compared exactly, in double precision, with all vectors there.  The
 number of parts probed is the least that reaches ``AIM`` recall on sampled
-points held out from the fit, measured by brute force over the sample.
+points held out from the fit, measured by brute force over the sample.  A
+query whose parts hold too few vectors goes to more of them, so that it never
+gets fewer results than there are.
 
 Queries and vectors meet in cells of bounded size: a part's vectors and its
 queries are both dealt over blocks by hash.
@@ -185,20 +187,32 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, parts: int = PAR
     v_blocks = max(1, math.ceil(n / used / CELL_VECTORS))
     q_blocks = max(1, math.ceil(m * probes / used / CELL_QUERIES))
 
-    def route(most: int):
+    def route(most: int, sizes: np.ndarray | None = None):
+        """The ``most`` likeliest parts, and with ``sizes`` as many more as it takes to hold k vectors and the query's own."""
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if not len(b):
                     continue
                 ids = b.column("vec_id")
-                top = router.ranked(_stack(b.column("embedding")))[:, :most] if router else np.zeros((len(b), 1), np.int64)
-                yield pa.RecordBatch.from_arrays([ids, b.column("embedding"), pa.array(top.tolist(), pa.list_(pa.int32()))], names=["vec_id", "embedding", "parts"])
+                top = router.ranked(_stack(b.column("embedding"))) if router else np.zeros((len(b), 1), np.int64)
+                if sizes is None:
+                    lists = top[:, :most].tolist()
+                else:
+                    need = np.maximum((np.cumsum(sizes[top], axis=1) <= k).sum(1) + 1, most)
+                    lists = [t[:n].tolist() for t, n in zip(top, need, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids, b.column("embedding"), pa.array(lists, pa.list_(pa.int32()))], names=["vec_id", "embedding", "parts"])
         return rows
 
-    def dealt(df: DataFrame, most: int, own: int, other: int, first: bool) -> DataFrame:
+    routed = "vec_id long, embedding array<double>, parts array<int>"
+    held = np.zeros(used, np.int64)
+    if router:  # a row for each part
+        for r in base.mapInArrow(route(1), routed).groupBy(F.col("parts")[0].alias("part")).count().collect():
+            held[r["part"]] = r["count"]
+
+    def dealt(df: DataFrame, to, own: int, other: int, first: bool) -> DataFrame:
         """A row for each part to probe and each block of the other side."""
         block = F.pmod(F.xxhash64("vec_id"), F.lit(own)).cast("int")
-        x = (df.mapInArrow(route(most), "vec_id long, embedding array<double>, parts array<int>")
+        x = (df.mapInArrow(to, routed)
              .select("vec_id", "embedding", F.explode("parts").alias("part"))
              .withColumn("mine", block).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.lit(other - 1)))))
         return x.select("vec_id", "embedding", "part", F.col("mine" if first else "theirs").alias("vb"), F.col("theirs" if first else "mine").alias("qb"))
@@ -222,8 +236,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, parts: int = PAR
                         out[0].append(qid[at + i]), out[1].append(vid[near[j]]), out[2].append(d[j])
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    left = dealt(base, 1, v_blocks, q_blocks, True)
-    right = dealt(asked, probes, q_blocks, v_blocks, False)
+    left = dealt(base, route(1), v_blocks, q_blocks, True)
+    right = dealt(asked, route(probes, held if router else None), q_blocks, v_blocks, False)
     found = (left.groupBy("part", "vb", "qb").cogroup(right.groupBy("part", "vb", "qb"))
              .applyInArrow(cell, "query_id long, vec_id long, score double"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
