@@ -181,3 +181,23 @@ def test_a_repeated_passage_goes_whole():
     found = op8_sentences.runs(words)
     assert (1, 3) in found  # two long sentences make a run
     assert all(e - s >= 3 or words[s:e].sum() >= op8_sentences.ENOUGH for s, e in found)
+
+
+def test_a_known_group_is_compared_with_the_few_other_sets_and_not_split(spark, monkeypatch):
+    monkeypatch.setattr(op1_jaccard, "LIMIT", 4)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for d in range(60):
+        w = list(base)
+        w[rng.randrange(200)] = f"x{d}"
+        rows.append((d, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = op1_jaccard.sets(df, 5).selectExpr("doc_id", "sid", "n", "sig", "mark", "if(doc_id < 59, 7L, 0L) as grp").localCheckpoint()
+    splits = []
+    real = op1_jaccard.split
+    monkeypatch.setattr(op1_jaccard, "split", lambda nodes, runs=None: (runs is None and splits.append(1), real(nodes, runs))[1])
+    got = op1_jaccard.found_in(known, range(4), 0.8).collect()
+    stranger = known.filter("grp = 0").first()["sid"]
+    assert got and all(stranger in (r.a, r.b) for r in got)
+    assert not splits
