@@ -89,3 +89,33 @@ def test_near_duplicates_count_hashes_where_they_look_them_up(spark, monkeypatch
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
     assert [(r.doc_id, r.rep_doc_id) for r in quality.near_dups(docs).collect()] == [(2, 1)]
     assert ["h", "c"] not in written
+
+
+def test_lookups_in_directions_that_the_cache_lacks_are_not_joined(spark):
+    cache = CacheStore.fresh(spark)
+    entries = spark.createDataFrame([("k1", "en", "aa", "v1", "alpha"), ("k2", "aa", "en", "v2", "alpha")],
+                                    "key string, src string, tgt string, value string, backend string")
+    assert cache.held() == []
+    cache.append(entries, 0)
+    assert cache.held() == ["alpha|aa|en", "alpha|en|aa"]
+    asked = spark.createDataFrame([("k1", "alpha", "en", "aa"), ("k1", "alpha", "en", "aa"), ("k2", "alpha", "aa", "en"), ("k3", "alpha", "aa", "en"),
+                                   ("k4", "alpha", "en", "bb"), ("k5", "beta", "en", "aa"), ("k6", None, "en", "aa")],
+                                  "key string, backend string, src string, tgt string")
+    got = cache.attach(asked, held=cache.held())
+    assert sorted(map(str, got.collect())) == sorted(map(str, cache.attach(asked).select(*got.columns).collect()))
+    assert sum(r.cached is not None for r in got.collect()) == 3
+    none = cache.attach(asked.filter("backend = 'beta'"), held=[])
+    assert [r.cached for r in none.collect()] == [None]
+    cache.append(spark.createDataFrame([("k7", None, None, "v7", "alpha")], entries.schema), 1)
+    assert cache.held() is None  # may be of any direction
+
+
+def test_cache_requests_ask_each_text_once(spark, monkeypatch):
+    from pivotscore import registry
+    rows = spark.createDataFrame(ROWS, "domain string, sent_id string, text string")
+    monkeypatch.setattr(registry.tables, "sentences", lambda *_: rows)
+    got = registry._fwd_requests(spark, "/root/testdata/sf0.001")
+    texts = len({r[2] for r in ROWS})
+    langs = registry.dims.pivots(spark, "/root/testdata/sf0.001").count()
+    assert got.count() == texts * langs * 2
+    assert got.agg({"n": "sum"}).first()[0] == len(ROWS) * langs * 2
