@@ -150,3 +150,15 @@ def test_query_is_the_sum_over_whole_turns(spark):
     for role in got:
         parts = np.array([ter.ter_edits(p["candidate"], p["original"]) for p in pairs if p["role"] == role]).sum(0)
         assert got[role] == pytest.approx(100 * parts[0] / parts[1], abs=1e-4)
+
+
+def test_moves_are_evaluated_without_padded_copies(monkeypatch):
+    """Distances of several orders by the rows on either side are those of each order by itself."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(np, "pad", None)
+    for n, m in [(3, 3), (12, 40), (40, 12), (2, 90), (60, 61)]:
+        h, r = rng.integers(0, 6, n), rng.integers(0, 6, m)
+        band = ter.Band(n, r)
+        orders = [h] + [ter.moved(h, int(s), 1, int(t)) for s, t in zip(rng.integers(0, n, 9), rng.integers(0, n, 9), strict=True)]
+        got = ter.distances(band, band.front(h), band.back(h), h, orders)
+        assert got.tolist() == [int(band.front(o)[-1, m - band.low[-1]]) for o in orders]
