@@ -1,0 +1,37 @@
+"""Known misses of a replay are neither joined nor written."""
+
+from pyspark.sql import functions as F
+
+from pivotscore.plans import audit
+from pivotscore.plans import protocols as P
+from pivotscore.sources.cache_store import CacheStore
+
+TEXTS = [f"Vivid quick kings zoom over {k} brown foxes" for k in range(12)]
+
+
+def test_only_held_directions_are_written(spark, monkeypatch):
+    s = spark.createDataFrame([("d", str(k), t) for k, t in enumerate([*TEXTS, TEXTS[0]])], "domain string, sent_id string, text string")
+    langs = spark.createDataFrame([("f", x, k) for k, x in enumerate(["aa", "bb", "cc"], 1)], "family string, language string, code int")
+    chain = spark.createDataFrame([("o", 1, "aa", 1), ("o", 2, "bb", 2), ("p", 1, "bb", 2), ("p", 2, "cc", 3)],
+                                  "order string, hop int, language string, code int")
+    cache = CacheStore.fresh(spark)
+    P.back_translate(P.distinct_texts(s), langs.filter("language = 'aa'"), ["alpha"], cache).count()
+    written = []
+    store = audit.materialize
+    monkeypatch.setattr(audit, "materialize", lambda df, tag: (got := store(df, tag), written.append((tag, got.count())))[0])
+    looks = audit.replay(s, langs, chain, langs.filter("language = 'aa'"), ["alpha", "beta"], cache)
+    known = cache.read()
+    keys = {r.key for r in known.collect()}
+    rows = looks.collect()
+    assert all(r.found == (r.key in keys) for r in rows)
+    n = len(TEXTS)
+    # Two backends; three languages; the leg after a hit; two orders of two hops, each with its way back; the round trip's three legs.
+    hits = sum(r.found for r in rows if r.protocol == "back_translation")
+    assert sum(r.protocol == "back_translation" for r in rows) == 2 * 3 * n + sum(r.src == "en" for r in known.collect())
+    assert sum(r.protocol == "telephone_chain" for r in rows) == 2 * 2 * 2 * 2 * n
+    assert hits and sum(c for tag, c in written if tag == "replay") <= 6 * n + 6 * n < len(rows)
+    owned = audit.owners(looks)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5(" not in owned
+    assert {r.protocol: r.n_ops for r in audit.requests(looks).filter("backend = 'beta'").collect()} == {
+        "back_translation": 3 * (n + 1), "telephone_chain": 8 * (n + 1), "round_trip": n + 1}
+    assert audit.missed(looks).filter(F.col("tag") == "beta:telephone_chain").first().n_missed == 8 * (n + 1)
